@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import contamination, overlap_join, radix
+from varloom.llm import contamination, diverse_subset, overlap_join, packing, radix, soft_linkage
 from varloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,16 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return member.join(links, "rep", "left").select(F.col("set_id").alias("gene_set_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return soft_linkage.link(table(spark, sf, "regenie_variants"), table(spark, sf, "dummy_processed_gwas")).select("snpid", "regenie_row")
+
+
+def p2_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The links with their confidence."""
+    links = soft_linkage.link(table(spark, sf, "regenie_variants"), table(spark, sf, "dummy_processed_gwas"))
+    return links.select("regenie_row", "snpid", F.round("confidence", 4).alias("confidence"))
+
+
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     found = radix.percentiles(table(spark, sf, "dummy_processed_gwas"), SCOPES, METRICS, "release_day")
     return found.select("scope", F.col("key").alias("group_key"), "metric", "q", "total", "value")
@@ -45,6 +55,29 @@ def p4_merged_days(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("scope", F.col("key").alias("group_key"), "metric", "q", "total", "lower", "upper", "value")
 
 
+def gene_set_content(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(id, group) of gene_set, with the collection's spelling made even, and (id, item) of its members."""
+    group = F.upper(F.regexp_replace(F.trim("collection"), r"[\s_-]+", ""))
+    return table(spark, sf, "gene_set").select("id", group.alias("group")), table(spark, sf, "gene_set_gene_symbol").select(F.col("gene_set_id").alias("id"), F.col("gene_symbol_id").alias("item"))
+
+
+def p5_varied_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """500 gene sets that cover the collections and the content."""
+    chosen = diverse_subset.select_varied(*gene_set_content(spark, sf), k=500)
+    return chosen.select("place", F.col("id").alias("gene_set_id"), "lap", F.round("residual", 4).alias("residual"))
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every document with its container of 2,048 tokens."""
+    return packing.pack(packing.token_counts(table(spark, sf, "documents")))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers by the tokens left over in them."""
+    used = p6_containers(spark, sf).where("container is not null").groupBy("container").agg(F.sum("size").alias("used"))
+    return used.groupBy((packing.CAPACITY - F.col("used")).alias("tokens_left")).agg(F.count("*").alias("containers"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -60,5 +93,5 @@ def p7_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = [p1_found, p1_classes, p4_percentiles, p4_day_counts, p4_merged_days, p7_found, p7_matches, p7_clean_documents]
+    names = [p1_found, p1_classes, p2_found, p2_links, p4_percentiles, p4_day_counts, p4_merged_days, p5_varied_sets, p6_containers, p6_fill, p7_found, p7_matches, p7_clean_documents]
     return {f.__name__: f for f in names}
