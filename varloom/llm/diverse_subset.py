@@ -29,11 +29,16 @@ ROWS_AT_ONCE = 2048
 
 @dataclass(frozen=True)
 class Space:
-    """Feature space: hashed item dimensions, hashed group dimensions, the group's share of a row's length."""
+    """Feature space: hashed item dimensions, group dimensions, the group's share of a row's squared length.
+
+    The item part has its full length from `full_size` distinct items on, less below it (in
+    proportion to the logarithm), as a record with many items covers more.
+    """
 
     item_dims: int = 512
     group_dims: int = 64
     group_share: float = 0.4
+    full_size: int = 64
 
     @property
     def dims(self) -> int:
@@ -41,7 +46,9 @@ class Space:
 
 
 def features(records: DataFrame, items: DataFrame, space: Space = Space()) -> DataFrame:
-    """(id, slots, vals): sparse unit rows, at most dims entries each.
+    """(id, slots, vals): sparse rows of length 1 at most, with at most dims entries.
+
+    Up to group_dims groups have a dimension each; more are hashed into them.
 
     records: (id, group); items: (id, item). Repeated items count once; null items and null
     ids are left out; a null group is a group of its own; a record without items has its
@@ -50,13 +57,18 @@ def features(records: DataFrame, items: DataFrame, space: Space = Space()) -> Da
     known = items.where("id is not null and item is not null").distinct()
     slot = F.pmod(F.xxhash64("item"), F.lit(space.item_dims)).cast("int")
     sign = F.when(F.xxhash64(F.lit(7), "item") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = known.groupBy("id", slot.alias("slot")).agg(F.sum(sign).alias("v"))
-    vectors = sums.where("v <> 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("e"))
+    sums = known.groupBy("id", slot.alias("slot")).agg(F.sum(sign).alias("v"), F.count("*").alias("m"))
+    vectors = sums.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("e"), F.sum("m").alias("m"))
     one = records.where("id is not null").groupBy("id").agg(F.min(F.coalesce("group", F.lit("(none)"))).alias("group"))
-    at = F.pmod(F.xxhash64("group"), F.lit(space.group_dims)).cast("int") + space.item_dims
+    groups = sorted(r["group"] for r in one.select("group").distinct().limit(space.group_dims + 1).collect())
+    if 0 < len(groups) <= space.group_dims:
+        at = F.element_at(F.create_map(*(F.lit(x) for pair in zip(groups, range(len(groups)), strict=True) for x in pair)), F.col("group")) + space.item_dims
+    else:
+        at = F.pmod(F.xxhash64("group"), F.lit(space.group_dims)).cast("int") + space.item_dims
     joined = one.join(vectors, "id", "left").withColumn("gslot", at)
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
-    own = F.transform("e", lambda x: (x["v"] / norm * math.sqrt(1 - space.group_share)).cast("float"))
+    length = F.least(F.lit(1.0), F.log1p("m") / math.log1p(space.full_size)) * math.sqrt(1 - space.group_share)
+    own = F.transform("e", lambda x: (x["v"] / F.greatest(norm, F.lit(1e-9)) * length).cast("float"))
     full = F.col("e").isNotNull()
     return joined.select(
         "id",
