@@ -73,7 +73,7 @@ def features(records: DataFrame, items: DataFrame, space: Space = Space()) -> Da
     return joined.select(
         "id",
         F.when(full, F.concat(F.col("e.slot"), F.array("gslot"))).otherwise(F.array("gslot")).alias("slots"),
-        F.when(full, F.concat(own, F.array(F.lit(math.sqrt(space.group_share)).cast("float")))).otherwise(F.array(F.lit(1.0).cast("float"))).alias("vals"),
+        F.when(full, F.concat(own, F.array(F.lit(math.sqrt(space.group_share)).cast("float")))).otherwise(F.array(F.lit(math.sqrt(space.group_share)).cast("float"))).alias("vals"),
     )
 
 

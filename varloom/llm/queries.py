@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import contamination, diverse_subset, overlap_join, packing, radix, soft_linkage
+from varloom.llm import contamination, diverse_subset, mojibake, overlap_join, packing, radix, soft_linkage
 from varloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,15 @@ def p7_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.without_leaks(documents, contamination.leaks(documents, table(spark, sf, "eval_items"))).select("doc_id", "n_chars")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Garbled documents with the chains that explain them and the restored text (null where characters are lost)."""
+    return mojibake.garbled(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    names = [p1_found, p1_classes, p2_found, p2_links, p4_percentiles, p4_day_counts, p4_merged_days, p5_varied_sets, p6_containers, p6_fill, p7_found, p7_matches, p7_clean_documents]
+    names = [p1_found, p1_classes, p2_found, p2_links, p4_percentiles, p4_day_counts, p4_merged_days, p5_varied_sets, p6_containers, p6_fill, p7_found, p7_matches, p7_clean_documents, p8_found, p8_restored]
     return {f.__name__: f for f in names}
