@@ -11,7 +11,7 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SQRT2 = math.sqrt(2.0)
@@ -107,13 +107,28 @@ def norm_sf(column: str) -> Column:
     return F.expr(norm_sf_sql(column))
 
 
-def norm_two_sided(column: str) -> Column:
-    return F.expr(norm_two_sided_sql(column))
-
-
 def norm_pdf(column: str) -> Column:
     return F.expr(norm_pdf_sql(column))
 
 
-def norm_ppf(column: str) -> Column:
-    return F.expr(norm_ppf_sql(column))
+def with_two_sided(df: DataFrame, z: str, name: str) -> DataFrame:
+    """Adds P(|Z| > |z|) of an SQL expression.
+
+    In stages, so that the terms a polynomial uses often are computed once and the generated code stays small.
+    """
+    horner = _double(_polynomial()[-1])
+    for c in reversed(_polynomial()[:-1]):
+        horner = f"({horner} * _e_y + {_double(c)})"
+    staged = df.withColumn("_e_x", F.expr(f"abs({z}) / {SQRT2!r}e0")).withColumn("_e_t", F.expr("2.0e0 / (2.0e0 + _e_x)")).withColumn("_e_y", F.expr("2.0e0 * _e_t - 1.0e0"))
+    return staged.withColumn(name, F.expr(f"_e_t * exp({horner} - _e_x * _e_x)")).drop("_e_x", "_e_t", "_e_y")
+
+
+def with_quantile(df: DataFrame, p: str, name: str) -> DataFrame:
+    """Adds the normal quantile of an SQL expression, null outside 0 < p < 1; in stages."""
+    staged = df.withColumn("_q_p", F.expr(p)).withColumn("_q_q", F.expr("_q_p - 0.5e0"))
+    staged = staged.withColumn("_q_r", F.expr("CASE WHEN _q_p > 0 AND _q_p < 1 THEN sqrt(-ln(CASE WHEN _q_q < 0 THEN _q_p ELSE 1.0e0 - _q_p END)) END"))
+    staged = staged.withColumns({"_q_n": F.expr("0.180625e0 - _q_q * _q_q"), "_q_m": F.expr("_q_r - 1.6e0"), "_q_f": F.expr("_q_r - 5.0e0")})
+    tail = f"(CASE WHEN _q_r <= 5 THEN {_ratio(_MIDDLE, '_q_m')} ELSE {_ratio(_TAIL, '_q_f')} END)"
+    staged = staged.withColumns({"_q_c": F.expr(f"_q_q * {_ratio(_CENTRE, '_q_n')}"), "_q_t": F.expr(tail)})
+    value = "CASE WHEN _q_r IS NULL THEN NULL WHEN abs(_q_q) <= 0.425e0 THEN _q_c WHEN _q_q < 0 THEN -_q_t ELSE _q_t END"
+    return staged.withColumn(name, F.expr(value)).drop("_q_p", "_q_q", "_q_r", "_q_n", "_q_m", "_q_f", "_q_c", "_q_t")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from varloom.functions.normal import norm_two_sided_sql
+from varloom.functions.normal import with_two_sided
 from varloom.operators.pipe import Pipe
 
 EPS = 2.220446049250313e-16
@@ -56,9 +57,16 @@ def specificity_fraction(cell_type: str, count: str, gene: str, cell: str, min_c
     return run
 
 
-def rank_max(by: Sequence[str], value: str) -> Column:
-    """Rank within a group where ties get the largest rank."""
-    return F.count(F.lit(1)).over(Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+def with_rank_max(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds the rank within a group where ties get the largest rank; nulls rank first.
+
+    Values are counted before anything is ordered, so the running count is over a group's distinct values.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])), F.sum("_m").over(w).alias(name))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, value])]
+    return df.join(ranks, reduce(lambda x, y: x & y, on)).drop(*(f"_k{i}" for i in range(len(on))))
 
 
 def check_not_sparse(df: DataFrame, cell: str, gene: str) -> None:
@@ -77,8 +85,9 @@ def specificity_stability(cell_type: str, count: str, gene: str, cell: str, min_
             check_not_sparse(d, cell, gene)
         g = d.groupBy(cell_type, gene).agg(F.avg(count).alias("m"), F.stddev_samp(count).alias("sd"), F.avg((F.col(count) == 0).cast("double")).alias("zero"))
         g = g.withColumn("cv", (F.col("sd") + epsilon) / (F.col("m") + epsilon))
+        g = with_rank_max(with_rank_max(g, [cell_type], "zero", "_r1"), [cell_type], "cv", "_r2")
         n = F.count(F.lit(1)).over(Window.partitionBy(cell_type))
-        g = g.withColumn("stability", 1 - (rank_max([cell_type], "zero") + rank_max([cell_type], "cv")) / (2 * n))
+        g = g.withColumn("stability", 1 - (F.col("_r1") + F.col("_r2")) / (2 * n))
         return g.select(gene, cell_type, (F.col("stability") - F.avg("stability").over(Window.partitionBy(gene))).alias("specificity"))
 
     return run
@@ -98,7 +107,7 @@ def collapse_assays(groups: dict[str, str], assay: str = "oid", gene: str = "gen
             (F.max(effect) - F.min(effect)).alias(f"{effect}_range"), F.count(F.lit(1)).alias("n_assays"),
             *(F.avg(c).alias(c) for c in means), *(F.min(c).alias(c) for c in lows),
         )
-        return g.withColumnRenamed("_key", assay).withColumn(p, F.expr(norm_two_sided_sql(f"({effect} / {se})"))).orderBy(F.col(p).asc_nulls_last(), assay)
+        return with_two_sided(g.withColumnRenamed("_key", assay), f"({effect} / {se})", p).orderBy(F.col(p).asc_nulls_last(), assay)
 
     return run
 
@@ -150,8 +159,8 @@ def binned_means(df: DataFrame, x: str, y: str, value: str, x_range: tuple[float
 
 def row_normalised(df: DataFrame, key: str, value: str, name: str = "share") -> DataFrame:
     """value over its sum within the key."""
-    total = F.sum(value).over(Window.partitionBy(key))
-    return df.withColumn(name, F.when(total != 0, F.col(value) / total))
+    totals = df.groupBy(F.col(key).alias("_k")).agg(F.sum(value).alias("_t"))
+    return df.join(totals, F.col(key).eqNullSafe(F.col("_k"))).withColumn(name, F.when(F.col("_t") != 0, F.col(value) / F.when(F.col("_t") != 0, F.col("_t")))).drop("_k", "_t")
 
 
 def significant_columns(results: DataFrame, matrix: DataFrame, label: str = "VARIABLE", p: str = "P", alpha: float = 0.05, keep: Sequence[str] = ("GENE",)) -> DataFrame:

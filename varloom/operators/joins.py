@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from varloom.operators.pipe import Pipe, identity
 from varloom.operators.rows import unique_rows
-from varloom.session import broadcast_if_small
+from varloom.session import broadcast_if_small, cut
 
 
 def join_tables(left: DataFrame, right: DataFrame, how: str, left_on: Sequence[str], right_on: Sequence[str], left_pipe: Pipe = identity, right_pipe: Pipe = identity, out_pipe: Pipe = identity, suffix: str = "_right") -> DataFrame:
@@ -99,15 +99,19 @@ def assign_rsids(variants: DataFrame, snps: DataFrame, chroms: dict[str, int]) -
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], within: str = "CHR", name: str = "row_id") -> DataFrame:
-    """Explicit ordinal from 0 over (within, order): numbered within a group, offset by the sizes of the groups before.
+    """Explicit ordinal from 0 over (within, order), nulls first.
 
-    The order must be total for a repeatable result. Group sizes are one row per group.
+    Rows are range-sorted and numbered within their partition, shifted by the sizes of the
+    partitions before, so no chromosome is one task. The order must be total for a repeatable
+    result; equal rows share a partition. Partition sizes are one row per partition.
     """
-    sizes = df.groupBy(within).agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.orderBy(F.col(within).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(within).alias("_w"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
-    own = F.row_number().over(Window.partitionBy(within).orderBy(*order)) - 1
-    return df.withColumn("_r", own).join(offsets, F.col(within).eqNullSafe(F.col("_w"))).withColumn(name, (F.col("_r") + F.col("_o")).cast("bigint")).drop("_r", "_o", "_w")
+    keys = [F.col(within).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order)]
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+    return placed.withColumn("_r", own).join(offsets, "_part").withColumn(name, (F.col("_r") + F.col("_o")).cast("bigint")).drop("_r", "_o", "_part")
 
 
 def build_variant_index(template: DataFrame, membership: DataFrame) -> DataFrame:

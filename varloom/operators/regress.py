@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.normal import norm_ppf_sql, norm_two_sided_sql
+from varloom.functions.normal import with_quantile, with_two_sided
 from varloom.operators.harmonize import is_ambiguous_snv, matches, matches_flipped
 from varloom.operators.scalar import liability_factor
 
@@ -75,7 +75,7 @@ def _kept(chi: Column, n: Column) -> Column:
 
 def _aggregate_h2(df: DataFrame, by: Sequence[str], chi: str, n: str, m: float, kept: Column) -> DataFrame:
     """Per group: tot = clip(m (mean chi2 - 1) / mean(l n), 0, 1), nbar, kept rows."""
-    g = df.where(kept).groupBy(*by).agg(F.avg(chi).alias("_mc"), F.avg(F.col("ld") * F.col(n)).alias("_mln"), F.avg(n).alias("nbar"), F.count(F.lit(1)).alias("n_kept"), F.percentile(chi, F.lit(0.5)).alias("_median"))
+    g = df.where(kept).groupBy(*by).agg(F.avg(chi).alias("_mc"), F.avg(F.col("ld") * F.col(n)).alias("_mln"), F.avg(n).alias("nbar"), F.count(F.lit(1)).alias("n_kept"), F.percentile_approx(chi, 0.5, 100_000).alias("_median"))
     tot = F.least(F.greatest(m * (F.col("_mc") - 1) / F.col("_mln"), F.lit(0.0)), F.lit(1.0))
     return g.select(*by, tot.alias("tot"), "nbar", "n_kept", F.col("_mc").alias("mean_chi2"), (F.col("_median") / CHI2_MEDIAN).alias("lambda_gc"))
 
@@ -145,7 +145,7 @@ def genetic_correlation(df: DataFrame, by: Sequence[str], n_snps: int, m: float,
     x = x.select(*by, "n_snps", (of("c", False) / F.sqrt(F.col("nt") * F.col("np")) * m).alias("gcov"), (of("t", False) / F.col("nt") * m).alias("h2_t"), (of("p", False) / F.col("np") * m).alias("h2_p"), ratio(False).alias("rg"), ratio(True).alias("_loo"))
     out = x.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("gcov", "h2_t", "h2_p", "rg", "n_snps")), (F.sqrt(F.var_pop("_loo") * F.lit(float(n_blocks - 1)))).alias("rg_se"))
     z = F.when(F.col("rg_se") > 0, F.col("rg") / F.when(F.col("rg_se") > 0, F.col("rg_se")))
-    return out.withColumn("z", z).withColumn("p", F.when(~F.isnan("z"), F.expr(norm_two_sided_sql("z"))))
+    return with_two_sided(out.withColumn("z", z), "(CASE WHEN NOT isnan(z) THEN z END)", "p")
 
 
 def ldsc_context(index: DataFrame, ld: DataFrame, drop_ambiguous: bool = True, exclude_mhc: bool = True) -> DataFrame:
@@ -175,13 +175,13 @@ def munge(df: DataFrame, ref: DataFrame, n: float | None = None, info_filter: fl
         d = d.withColumn(c, F.when(F.upper(c).isin("A", "C", "G", "T"), F.upper(c)))
     j = d.join(ref.select("SNP", F.col("A1").alias("r1"), F.col("A2").alias("r2")), "SNP")
     j = j.where(F.col("P").isNotNull() & ~F.isnan("P") & F.col("effect").isNotNull() & ~F.isnan("effect"))
-    centre = j.agg(F.percentile("effect", F.lit(0.5))).first()[0]
+    centre = j.agg(F.percentile_approx("effect", 0.5, 10_000)).first()[0]
     if centre is not None and round(centre) == 1:
         raise ValueError("effects look like odds ratios; give their logarithms")
     same, turned = matches("A1", "A2", "r1", "r2"), matches_flipped("A1", "A2", "r1", "r2")
     effect = F.when(same, F.col("effect")).otherwise(-F.col("effect"))
-    z = F.signum(effect) * -F.expr(norm_ppf_sql("(P / 2.0e0)"))
-    out = j.where(same | turned).withColumn("Z", z).where(F.col("Z").isNotNull())
+    kept = j.where((same | turned) & (F.col("P") > 0) & (F.col("P") <= 1)).withColumn("_sign", F.signum(effect))
+    out = with_quantile(kept, "(P / 2.0e0)", "_q").withColumn("Z", -F.col("_sign") * F.col("_q"))
     if "INFO" in d.columns:
         out = out.where(F.col("INFO") >= info_filter)
     if "MAF" in d.columns:
@@ -208,9 +208,10 @@ def standardise(df: DataFrame, ref: DataFrame, info_filter: float = 0.6) -> Data
     if "INFO" in df.columns:
         j = j.where(F.col("INFO") >= info_filter)
     sign = F.when(same, F.signum("effect")).otherwise(-F.signum("effect"))
-    size = F.when(F.col("P") < 1e-307, F.sqrt(-2 * F.log("P"))).otherwise(-F.expr(norm_ppf_sql("(P / 2.0e0)")))
     f = F.coalesce("own_maf", "MAF")
-    j = j.withColumns({"_z": sign * size, "_var": 2 * f * (1 - f)}).where((F.col("_var") > 0) & (F.col("_z") != 0))
+    j = j.withColumns({"_sign": sign, "_var": 2 * f * (1 - f)}).where((F.col("_var") > 0) & (F.col("_sign") != 0) & (F.col("P") > 0) & (F.col("P") < 1))
+    j = with_quantile(j, "(P / 2.0e0)", "_q")
+    j = j.withColumn("_z", F.col("_sign") * F.when(F.col("P") < 1e-307, F.sqrt(-2 * F.log("P"))).otherwise(-F.col("_q")))
     beta = F.col("_z") / F.sqrt(F.col("N") * F.col("_var"))
     return j.select("SNP", F.col("r1").alias("A1"), F.col("r2").alias("A2"), "MAF", beta.alias("beta"), F.abs(beta / F.col("_z")).alias("se"))
 

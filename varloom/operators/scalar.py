@@ -10,7 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.normal import norm_ppf_sql, norm_two_sided_sql
+from varloom.functions.normal import norm_ppf_sql, norm_two_sided_sql, with_quantile, with_two_sided
 from varloom.operators.pipe import Pipe, require
 
 NAN = float("nan")
@@ -92,7 +92,7 @@ def p_from_beta_se_sql(beta: str, se: str) -> str:
 
 def p_from_beta_se_if_needed(p: str = "P", beta: str = "BETA", se: str = "SE") -> Pipe:
     """P = P(|Z| > |BETA / SE|); null at SE = 0."""
-    return lambda df: df if p in df.columns else df.withColumn(p, F.expr(p_from_beta_se_sql(beta, se)))
+    return lambda df: df if p in df.columns else with_two_sided(df, f"({beta} / (CASE WHEN {se} <> 0 THEN {se} END))", p)
 
 
 def se_from_p_sql(beta: str, p: str) -> str:
@@ -108,7 +108,8 @@ def se_from_p(if_needed: bool = False) -> Pipe:
             if if_needed:
                 return df
             raise ValueError("the table has SE already")
-        return df.withColumn("SE", F.expr(se_from_p_sql("BETA", "P")))
+        d = with_quantile(df, "(CASE WHEN P > 0 AND P < 1 THEN P / 2.0e0 END)", "_z")
+        return d.withColumn("SE", F.abs(F.col("BETA") / F.col("_z"))).drop("_z")
 
     return run
 

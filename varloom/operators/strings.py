@@ -78,22 +78,19 @@ def replace_values(column: str, new_name: str, mapping: Mapping, default: Column
     return lambda df: df.withColumn(new_name, out.otherwise(rest) if out is not None else rest)
 
 
-_SIMPLE_FORMAT = re.compile(r"\.\d+[ef]")
+def format_numbers(column: str, spec: str) -> Pipe:
+    """Numbers in a Python format, other values as they are; the result is text.
 
+    Arrow batches: the JVM's formatter rounds ties of the shortest decimal, not of the binary value.
+    """
 
-def format_numbers(column: str, spec: str) -> Pipe:
-    """Numbers in a Python format, other values as they are; the result is text. Formats with e and f stay in the JVM."""
+    @F.pandas_udf("string")
+    def formatted(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: format(v, spec), na_action="ignore")
 
     def run(df: DataFrame) -> DataFrame:
         text = F.col(column).cast("string")
         number = text.try_cast("double")
-        if _SIMPLE_FORMAT.fullmatch(spec):
-            return df.withColumn(column, F.when(number.isNotNull(), F.format_string(f"%{spec}", number)).otherwise(text))
-
-        @F.pandas_udf("string")
-        def formatted(x: pd.Series) -> pd.Series:
-            return x.map(lambda v: format(v, spec), na_action="ignore")
-
         return df.withColumn(column, F.when(number.isNotNull(), formatted(number)).otherwise(text))
 
     return run

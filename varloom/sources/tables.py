@@ -64,8 +64,9 @@ def scan(spark: SparkSession, path: str | Sequence[str], spec: ReadSpec) -> Data
     if f.comment:
         reader = reader.option("comment", f.comment)
     if f.skip_rows:
-        lines = spark.read.text(paths, wholetext=False).withColumn("n", F.col("_metadata.file_block_start"))
-        kept = lines.rdd.map(lambda r: r["value"]).zipWithIndex().filter(lambda x: x[1] >= f.skip_rows).map(lambda x: x[0])
+        if len(paths) > 1:
+            raise ValueError("skip_rows is for one file")
+        kept = spark.read.text(paths).rdd.map(lambda r: r["value"]).zipWithIndex().filter(lambda x: x[1] >= f.skip_rows).map(lambda x: x[0])
         df = reader.option("header", f.has_header).csv(kept)
     else:
         df = reader.option("header", f.has_header).csv(paths)
