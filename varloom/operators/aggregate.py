@@ -17,8 +17,8 @@ EPS = 2.220446049250313e-16
 
 
 def acat_p(p: str) -> Column:
-    """Cauchy combination of the p-values of a group."""
-    clipped = F.greatest(F.least(F.col(p), F.lit(1 - EPS)), F.lit(EPS))
+    """Cauchy combination of the p-values of a group; nulls do not count."""
+    clipped = F.when(F.col(p).isNotNull(), F.greatest(F.least(F.col(p), F.lit(1 - EPS)), F.lit(EPS)))
     return 0.5 - F.atan(F.avg(F.tan((0.5 - clipped) * math.pi))) / math.pi
 
 

@@ -86,7 +86,7 @@ def format_numbers(column: str, spec: str) -> Pipe:
 
     @F.pandas_udf("string")
     def formatted(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: format(v, spec), na_action="ignore")
+        return pd.Series([None if pd.isna(v) else format(v, spec) for v in x], dtype=object)
 
     def run(df: DataFrame) -> DataFrame:
         text = F.col(column).cast("string")
