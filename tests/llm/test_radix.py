@@ -21,7 +21,7 @@ def frame(spark, seed=1, n=3000):
     rng = np.random.default_rng(seed)
     rows = []
     for i in range(n):
-        v = rng.choice(VALUES) if rng.random() < 0.1 else float(np.round(rng.normal() * 10 ** rng.integers(-3, 4), 3))
+        v = float(rng.choice(VALUES)) if rng.random() < 0.1 else float(np.round(rng.normal() * 10.0 ** rng.integers(-3, 4), 3))
         v = None if rng.random() < 0.02 else math.nan if rng.random() < 0.02 else v
         rows.append((f"d{i % 7}", "hot" if rng.random() < 0.4 else f"k{rng.integers(5)}" if rng.random() < 0.9 else None, v, i))
     return spark.createDataFrame(rows, "day string, k string, v double, n int")

@@ -14,7 +14,7 @@ REG = "regenie_row bigint, file_name string, chrom string, genpos bigint, allele
 def link(spark, records, rows):
     r = spark.createDataFrame([(i, "f", *x, 0) for i, x in enumerate(records)], REG)
     g = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], GWAS)
-    return {x["regenie_row"]: (x["snpid"], x["confidence"]) for x in sl.link(r, g).collect()}
+    return {x["regenie_row"]: (x["snpid"], x["confidence"]) for x in sl.link(r, g, sl.Rules(rounds=10)).collect()}
 
 
 ROWS = [
@@ -35,16 +35,16 @@ def test_cases(spark):
 
 def test_many_tellers_of_one_variant(spark):
     got = link(spark, [("1", 1000 + k % 3, "G", "A", 0.2) for k in range(200)], ROWS)
-    assert len(got) == 200 and {v[0] for v in got.values()} == {"v1"} and min(v[1] for v in got.values()) > 0.8
+    assert len(got) == 200 and {v[0] for v in got.values()} == {"v1"} and min(v[1] for v in got.values()) > 0.7
 
 
 def test_empty(spark):
     r, g = spark.createDataFrame([], REG), spark.createDataFrame([], GWAS)
-    assert sl.link(r, g).count() == 0
+    assert sl.link(r, g, sl.Rules(rounds=3)).count() == 0
 
 
 def test_solver_finds_the_minimum(spark):
-    rules = sl.Rules(rounds=300, tolerance=1e-5, check_every=20)
+    rules = sl.Rules(rounds=45, tolerance=1e-3, check_every=10)
     pairs = [(0, "a", 0.9), (0, "b", 0.7), (1, "b", 0.6), (2, "a", 0.5), (2, "c", 0.5)]
     d = spark.createDataFrame(pairs, "regenie_row bigint, snpid string, s double")
     got = {(r["regenie_row"], r["snpid"]): r["x"] for r in sl.solve(d, rules).collect()}
@@ -53,7 +53,7 @@ def test_solver_finds_the_minimum(spark):
     def energy(x, h):
         e = sum(rules.rare * v for v in h.values())
         for (_, v, s), xv in zip(pairs, x, strict=True):
-            e += rules.similar * max(0, s - xv) + rules.prior * xv + rules.told * max(0, xv - h[v]) + rules.trans * max(0, h[v] + s - 1 - xv)
+            e += rules.similar * max(0, s - xv) ** 2 + rules.prior * xv + rules.told * max(0, xv - h[v]) + rules.trans * max(0, h[v] + s - 1 - xv)
         return e
 
     x = [got[r, v] for r, v, _ in pairs]

@@ -5,7 +5,7 @@ variants. Candidate pairs share a chromosome and lie within `window` bases; alle
 frequency must not contradict. Every pair has a truth value x in [0, 1], every variant
 a truth value h ("is told by the delivery"), and weighted rules become hinge losses:
 
-    similar(r, v)               -> match(r, v)      w_similar * max(0, s - x)
+    similar(r, v)               -> match(r, v)      w_similar * max(0, s - x)^2
     not match(r, v)                                 w_prior   * x
     match(r, v)                 -> told(v)          w_told    * max(0, x - h)
     told(v) and similar(r, v)   -> match(r, v)      w_trans   * max(0, h + s - 1 - x)
@@ -14,7 +14,8 @@ a truth value h ("is told by the delivery"), and weighted rules become hinge los
 
 The fourth rule carries a match from one record to the others that tell the same variant
 (transitivity) through the variant, so its groundings grow with the records, not with
-their pairs. The convex problem is solved by the alternating direction method of
+their pairs. The first loss is squared, so that of two variants that share a record the more similar
+one gets the higher value. The convex problem is solved by the alternating direction method of
 multipliers: every grounding moves its own copies in closed form, copies are averaged by
 two aggregations a round. The values are the confidences.
 """
@@ -40,7 +41,7 @@ class Rules:
     """Weights of the rules and the solver's limits."""
 
     similar: float = 1.0
-    prior: float = 0.2
+    prior: float = 0.1
     told: float = 0.2
     trans: float = 0.3
     rare: float = 0.05
@@ -194,14 +195,14 @@ def solve(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
     def local(rows: DataFrame) -> DataFrame:
-        """Every rule moves its own copies from the consensus, by at most its weight; copies of x are averaged."""
+        """Every rule moves its own copies from the consensus, a linear one by at most its weight; copies of x are averaged."""
         z, h, s = F.col("z"), F.col("h"), F.col("s")
         j = rows.withColumn("over", up(F.sum(z - F.col("ue")).over(per_record) - 1) / F.count("*").over(per_record))
         step_t = F.least(F.lit(rules.told), up((z - F.col("ut")) - (h - F.col("uth"))) / 2)
         step_r = F.least(F.lit(rules.trans), up((h - F.col("urh")) + s - 1 - (z - F.col("ur"))) / 2)
         own = h - F.col("uh")
         j = j.withColumns({
-            "xs": z - F.col("us") + F.least(F.lit(rules.similar), up(s - (z - F.col("us")))),
+            "xs": z - F.col("us") + 2 * rules.similar / (2 * rules.similar + 1) * up(s - (z - F.col("us"))),
             "xp": z - F.col("up") - F.least(F.lit(rules.prior), up(z - F.col("up"))),
             "xt": z - F.col("ut") - step_t, "ht": h - F.col("uth") + step_t,
             "xr": z - F.col("ur") + step_r, "hr": h - F.col("urh") - step_r,
