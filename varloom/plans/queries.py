@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from varloom.functions.normal import norm_ppf_sql, norm_two_sided_sql, with_two_sided
 from varloom.operators import aggregate as agg
 from varloom.operators import causality
+from varloom.operators import downstream as dn
 from varloom.operators import filters as flt
 from varloom.operators import harmonize as har
 from varloom.operators import intervals as itv
 from varloom.operators import joins as jn
+from varloom.operators import labelled as lab
 from varloom.operators import multitest as mt
 from varloom.operators import project as prj
 from varloom.operators import regress as reg
@@ -773,6 +775,64 @@ def q_multi_trait(spark, sf):
     return spark.createDataFrame([(name, a, b, float(x)) for name, m in (("S", s), ("V", v), ("I", i)) for a, r in enumerate(m) for b, x in enumerate(r)], "matrix string, i int, j int, value double")
 
 
+# Labelled arrays and downstream tables.
+
+
+def _study_chr(spark, sf):
+    """Mean effect per study and chromosome as a long array, and a table of the studies."""
+    d = table(spark, sf, "dummy_processed_gwas").where("beta is not null")
+    cells = d.groupBy("study_id", "chr").agg(F.round(F.avg("beta"), 12).alias("value"))
+    labels = d.groupBy("study_id").agg(F.round(F.avg(F.abs("beta")), 7).alias("p"), F.round(F.avg("beta"), 7).alias("z"))
+    return cells, labels
+
+
+_CELLS = """cells AS (SELECT study_id, chr, round(avg(beta), 12) AS value FROM dummy_processed_gwas WHERE beta IS NOT NULL GROUP BY ALL),
+labels AS (SELECT study_id, round(avg(abs(beta)), 7) AS p, round(avg(beta), 7) AS z FROM dummy_processed_gwas WHERE beta IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_CELLS} SELECT c.* FROM cells c WHERE study_id IN (SELECT study_id FROM labels ORDER BY p, study_id LIMIT 8)")
+def q_most_significant(spark, sf):
+    cells, labels = _study_chr(spark, sf)
+    return lab.most_significant(cells, labels, "study_id", "p", 8).select("study_id", "chr", "value")
+
+
+@query(f"WITH {_CELLS} SELECT c.* FROM cells c WHERE study_id IN (SELECT study_id FROM labels WHERE p <= 0.8 / (SELECT count(*) FROM labels) AND z >= 0)")
+def q_significance_filter(spark, sf):
+    cells, labels = _study_chr(spark, sf)
+    return lab.significance_filter(cells, labels, "study_id", "p", "z", 0.8).select("study_id", "chr", "value")
+
+
+@query(f"""WITH {_CELLS} SELECT study_id, chr, value, trait FROM cells LEFT JOIN (SELECT study_id, min(trait) AS trait FROM study_info GROUP BY 1) USING (study_id)""")
+def q_annotate(spark, sf):
+    return lab.annotate(_study_chr(spark, sf)[0], "study_id", [table(spark, sf, "study_info").select("study_id", "trait")]).select("study_id", "chr", "value", "trait")
+
+
+@query()
+def q_cluster_order(spark, sf):
+    """Studies in the order of average-linkage clustering of their mean effects by chromosome."""
+    order = lab.cluster_order(_study_chr(spark, sf)[0].where("study_id is not null"), "study_id", "chr", "value")
+    return spark.createDataFrame(list(enumerate(order)), "place int, study_id string")
+
+
+@query("SELECT snpid AS \"rsID\", CAST(m // 1000000000 AS INTEGER) AS \"CHR\", CAST(m % 1000000000 AS INTEGER) AS \"POS\" FROM (SELECT snpid, min(CAST(chr AS BIGINT) * 1000000000 + pos) AS m FROM dummy_processed_gwas WHERE snpid IS NOT NULL GROUP BY 1)")
+def q_snp_locations(spark, sf):
+    return dn.snp_locations(gwas(spark, sf).withColumnRenamed("SNPID", "rsID"))
+
+
+@query(f"""WITH {A} SELECT "rsID" AS "RSID", "CHR", "POS", "EA" AS "A1", "NEA" AS "A2", "N", round("BETA" / "SE", 6) AS "Z" FROM a""")
+def q_z_table(spark, sf):
+    return rounded(dn.z_table(half(spark, sf, True)), "Z")
+
+
+@query(f"""WITH {_CONTEXT}, i AS (SELECT "CHR", sum(z_t * z_p) AS xy, sum(z_t * z_t) AS xx, sum(z_p * z_p) AS yy, count(*) AS n FROM k GROUP BY 1)
+SELECT "CHR", round(xy / xx, 6) AS b, round(sqrt(greatest((yy - xy / xx * xy) / greatest(n - 1, 1), 1) / xx), 6) AS se, n FROM i""")
+def q_causal_estimate(spark, sf):
+    """Inverse-variance causal estimate of the early on the late half's z-scores, per chromosome."""
+    d, _ = _context(spark, sf)
+    iv = d.select("CHR", F.col("z_t").alias("beta_exposure"), F.col("z_p").alias("beta_outcome"), F.lit(1.0).alias("se_outcome"))
+    return rounded(dn.inverse_variance_estimate(iv, ["CHR"]).select("CHR", "b", "se", "n"), "b", "se")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
