@@ -160,3 +160,11 @@ def test_causality(spark):
     p = lcv.posterior(got)
     assert -1 <= p["gcp_mean"] <= 1 and 0 <= p["p_gcp_zero"] <= 1
     assert lcv.t_cdf(-2.0, 10) == pytest.approx(0.0366940173853702, rel=1e-9) and lcv.t_pdf(0.0, 5) == pytest.approx(0.3796066898224944, rel=1e-9)
+
+
+def test_causality_undefined(spark):
+    d = spark.createDataFrame([(i, 1.0 + i % 7, 0.1 * (i % 3), 0.1) for i in range(60)], "ordinal int, ld double, z1 double, z2 double")
+    got = lcv.jackknife(d, 60, 5)
+    assert got["rho"].isna().any()
+    with pytest.raises(ValueError):
+        lcv.posterior(got)

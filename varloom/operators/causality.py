@@ -55,13 +55,18 @@ def intercept_sums(df: DataFrame, n_snps: int, n_blocks: int, limits: np.ndarray
 
 
 def _moments(t: dict[str, float], sums: np.ndarray) -> tuple[float, float, float]:
-    """(rho, kappa1, kappa2) of a subset from its totals and intercept sums."""
+    """(rho, kappa1, kappa2) of a subset from its totals and intercept sums; NaN where a heritability or a scale is not above 0."""
+    undefined = (math.nan, math.nan, math.nan)
+    if not len(sums) or any(s[0] * s[2] - s[1] ** 2 <= 0 for s in sums) or t["wll"] <= 0:
+        return undefined
 
     def icpt(s):
         return (s[0] * s[4] - s[1] * s[3]) / (s[0] * s[2] - s[1] ** 2)
 
     i1, i2, ic = (icpt(s) for s in sums)
     h1, h2, hc = ((t[f"wl{k}"] - i * t["wl"]) / t["wll"] for k, i in (("11", i1), ("22", i2), ("12", ic)))
+    if h1 <= 0 or h2 <= 0 or t["w11"] / t["w"] <= i1 or t["w22"] / t["w"] <= i2:
+        return undefined
     rho = hc / math.sqrt(h1 * h2)
     s1, s2 = math.sqrt(t["w11"] / t["w"] - i1), math.sqrt(t["w22"] / t["w"] - i2)
     e = {k: t[k] / t["w"] for k in ("w11", "w22", "w12", "w1112", "w1222")}
@@ -114,6 +119,8 @@ def _betainc(a: float, b: float, x: float) -> float:
 def posterior(estimates: pd.DataFrame) -> dict[str, float]:
     """Posterior of the causality proportion on a grid of 201 values, from leave-one-out estimates."""
     e = estimates[estimates["left_out"] >= 0]
+    if e[["rho", "kappa1", "kappa2"]].isna().any().any():
+        raise ValueError("a leave-one-out estimate is undefined: a heritability is not above 0")
     rho = e["rho"].to_numpy()
     k1, k2 = (e[c].to_numpy() - 3 * rho for c in ("kappa1", "kappa2"))
     nb = len(e)
