@@ -64,3 +64,16 @@ def test_double_and_lost(spark, sound):
     assert {10_005, 10_007} <= set(got) and not {10_001, 10_002, 10_003, 10_004} & set(got)
     assert got[10_007]["restored"] == "La réplication a été décidée après l’été" and got[10_005]["restored"] is None and got[10_005]["lost"] == 2
     assert mj.garbled(d.limit(0)).count() == 0
+
+
+def test_garbled_text_copied_to_a_third_of_the_rows(spark, sound):
+    """Copies of a garbled text are no evidence that it is usual, whether exact or altered away from the garbling."""
+    text = "Les résultats de la réplication étaient sûrs après l’été; où qu’il fût, le gène était lié à la fièvre."
+    for written, read in (("mac_roman", "cp1252"), ("utf-8", "cp850")):
+        bad = garble(text, written, read)
+        n = len(sound) // 2
+        once, docs = [(20_000, bad)], [(20_000 + i, bad if i % 2 else f"{bad} No {i}") for i in range(n)]
+        one, got = ({r["doc_id"]: r["restored"] for r in mj.garbled(spark.createDataFrame(sound + more, "doc_id bigint, text string")).collect()} for more in (once, docs))
+        assert set(range(20_000, 20_000 + n)) <= set(got) and got[20_001] == one[20_000]
+        assert written != "utf-8" or got[20_001] == text
+        assert len(got) <= n + 0.01 * len(sound)

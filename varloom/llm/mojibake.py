@@ -6,14 +6,16 @@ it was written", up to three deep, is applied to a suspicious window and the res
 scored by the model; of a document, the chains' gains in log-likelihood are summed and
 the document counts as garbled if the likeliest chains gain more than a margin. Clean
 records, on which the model is trained, are those in which a plainer first model, of
-single characters by the kinds of their neighbours, sees nothing to gain: it is counted
-over all records, and too plain to learn a garbled phrase by heart. Model tables have a
-fixed size and are counted over all documents.
+single characters by the kinds of their neighbours, sees nothing to gain (it is too plain
+to learn a garbled phrase by heart), and which hold no run that is valid UTF-8 of more widely
+used characters. Both models count texts with the same windows once, so copies of a text weigh no more than
+the text. Model tables have a fixed size and are counted over all documents.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import re
 from array import array
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varloom.session import cut
+
 RUN = re.compile(r"[^\x00-\x7f]+")
 #: Encodings a text may wrongly have been read in, and single-byte encodings it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp437", "cp850", "mac_roman", "cp866", "iso8859-15", "cp1254", "cp1253", "iso8859-5", "mac_cyrillic")
@@ -135,17 +139,6 @@ def parts(window: str, context: int) -> tuple[str, str, str]:
     return left, window[context:-context], right
 
 
-def count_windows(texts, context: int) -> Counter:
-    """How often each (left, run, right) occurs."""
-    raw: Counter = Counter()
-    for text in texts:
-        raw.update(w for _, _, w in slices(text, context))
-    seen: Counter = Counter()
-    for w, n in raw.items():
-        seen[parts(w, context)] += n
-    return seen
-
-
 def _fast(a: np.ndarray) -> array:
     """The same numbers where single elements are read quickly."""
     out = array("f")
@@ -255,6 +248,20 @@ def count_plain(seen: Counter) -> Counter:
     return out
 
 
+def evident(run: str, spread: dict[str, tuple[int, int]]) -> bool:
+    """Whether a run of several characters is, in some encoding, valid UTF-8 of characters that each occur in more different texts, or in more different windows, than its own rarest one. How often a text or window occurs doesn't matter."""
+    if len(run) < 2:
+        return False
+    none = (0, 0)
+    own = [min(x) for x in zip(*(spread.get(ch, none) for ch in run), strict=True)]
+    for chain, result in repairs(run, 1).items():
+        if len(chain) == 1 and chain[0][1] == "utf-8":
+            new = [spread.get(ch, none) for ch in result if ch > "\x7f"]
+            if new and any(min(x) > y for x, y in zip(zip(*new, strict=True), own, strict=True)):
+                return True
+    return False
+
+
 @dataclass
 class Finding:
     """gain: log-likelihood won by the accepted chains; lost: characters that failed to decode; open: suspicious windows nothing explains."""
@@ -339,30 +346,100 @@ def _collected(counts: DataFrame, keys: list[str]) -> pd.DataFrame:
     return counts.groupBy(*keys).agg(F.sum("n").alias("n")).toPandas()
 
 
-def train_plain(documents: DataFrame, text: str, limits: Limits) -> np.ndarray:
-    """Counts of the plain model over all documents."""
+def folded(documents: DataFrame, text: str, limits: Limits) -> DataFrame:
+    """(key, w, n): the windows of every text beyond ASCII and how often it holds them; texts with the same windows are one row."""
+
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[bytes] = set()
+        for f in frames:
+            rows = []
+            for t in f["t"]:
+                if t.isascii():
+                    continue
+                own = sorted(Counter(w for _, _, w in slices(t, limits.context)).items())
+                key = hashlib.blake2b(repr(own).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in known:
+                    if len(known) > 500_000:
+                        known.clear()
+                    known.add(key)
+                    rows.append((key, [w for w, _ in own], [n for _, n in own]))
+            yield pd.DataFrame(rows, columns=["key", "w", "n"])
+
+    return cut(_texts(documents, text).mapInPandas(windows, "key binary, w array<string>, n array<int>").dropDuplicates(["key"]))
+
+
+def _seen(rows, context: int) -> Counter:
+    """How often each (left, run, right) occurs in rows of (windows, times)."""
+    raw: Counter = Counter()
+    for ws, ns in rows:
+        for w, n in zip(ws, ns, strict=True):
+            raw[w] += int(n)
+    seen: Counter = Counter()
+    for w, n in raw.items():
+        seen[parts(w, context)] += n
+    return seen
+
+
+def train_plain(texts: DataFrame, limits: Limits) -> np.ndarray:
+    """Counts of the plain model over folded texts."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for f in frames:
-            total.update(count_plain(count_windows(f["t"], limits.context)))
+            total.update(count_plain(_seen(zip(f["w"], f["n"], strict=True), limits.context)))
         yield pd.DataFrame({"slot": pd.Series(total.keys(), dtype="int64"), "n": pd.Series(total.values(), dtype="int64")})
 
-    got = _collected(_texts(documents, text).mapInPandas(count, "slot bigint, n bigint"), ["slot"])
+    got = _collected(texts.select("w", "n").mapInPandas(count, "slot bigint, n bigint"), ["slot"])
     out = np.zeros(KINDS * KINDS * PLAIN_CODES, np.float32)
     out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy()
     return out.reshape(KINDS, KINDS, PLAIN_CODES)
 
 
+def spreads(texts: DataFrame, limits: Limits) -> dict[str, tuple[int, int]]:
+    """In how many folded texts, and in how many different windows, each character occurs in a run: a row per character at most."""
+
+    def frame(total: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"code": pd.Series(map(ord, total), dtype="int64"), "n": pd.Series(total.values(), dtype="int64")})
+
+    def by_text(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for f in frames:
+            for ws in f["w"]:
+                total.update({ch for w in ws for ch in w[limits.context : -limits.context]})
+        yield frame(total)
+
+    def different(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[str] = set()
+        for f in frames:
+            new = {"".join(parts(w, limits.context)) for ws in f["w"] for w in ws} - known
+            if len(known) > 500_000:
+                known.clear()
+            known |= new
+            yield pd.DataFrame({"w": pd.Series(list(new), dtype=object)})
+
+    def by_window(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for f in frames:
+            for w in f["w"]:
+                total.update(set(w[limits.context : -limits.context]))
+        yield frame(total)
+
+    w, schema = texts.select("w"), "code bigint, n bigint"
+    counts = w.mapInPandas(by_text, schema), w.mapInPandas(different, "w string").distinct().mapInPandas(by_window, schema)
+    one, two = (dict(zip(got["code"], got["n"], strict=True)) for got in (_collected(c, ["code"]) for c in counts))
+    return {chr(c): (int(n), int(two[c])) for c, n in one.items()}
+
+
 def train(documents: DataFrame, text: str = "text", limits: Limits = Limits()) -> Model:
-    """The trigram model of the clean records, counted over all of them."""
+    """The trigram model of the clean records, counted over all of them, copies once."""
     sc = documents.sparkSession.sparkContext
-    plain = train_plain(documents, text, limits)
+    texts = folded(documents, text, limits)
+    plain = train_plain(texts, limits)
     at = np.flatnonzero(plain)
-    carried = sc.broadcast((at, plain.ravel()[at]))
+    carried = sc.broadcast((at, plain.ravel()[at], spreads(texts, limits)))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, values = carried.value
+        slots, values, spread = carried.value
         dense = np.zeros(KINDS * KINDS * PLAIN_CODES, np.float32)
         dense[slots] = values
         model = PlainModel(dense.reshape(KINDS, KINDS, PLAIN_CODES))
@@ -378,19 +455,19 @@ def train(documents: DataFrame, text: str = "text", limits: Limits = Limits()) -
                 key = (left[-1:], run, right[:1])
                 hit = known.get(key)
                 if hit is None:
-                    hit = known[key] = model.suspicious(*key, limits)
+                    hit = known[key] = model.suspicious(*key, limits) or evident(run, spread)
                 by_window[w] = hit
             return hit
 
         tables = (Counter(), Counter(), Counter())
         for f in frames:
-            clean = [t for t in f["t"] if not t.isascii() and not any(bad(w) for _, _, w in slices(t, limits.context))]
-            for total, new in zip(tables, count_grams(count_windows(clean, limits.context)), strict=True):
+            clean = [(ws, ns) for ws, ns in zip(f["w"], f["n"], strict=True) if not any(bad(w) for w in ws)]
+            for total, new in zip(tables, count_grams(_seen(clean, limits.context)), strict=True):
                 total.update(new)
         for k, total in enumerate(tables):
             yield pd.DataFrame({"grams": k, "slot": pd.Series(total.keys(), dtype="int64"), "n": pd.Series(total.values(), dtype="int64")})
 
-    got = _collected(_texts(documents, text).mapInPandas(count, "grams int, slot bigint, n bigint"), ["grams", "slot"])
+    got = _collected(texts.select("w", "n").mapInPandas(count, "grams int, slot bigint, n bigint"), ["grams", "slot"])
     out = []
     for k in range(3):
         a, g = np.zeros(SLOTS, np.float32), got[got["grams"] == k]
