@@ -77,3 +77,17 @@ def test_garbled_text_copied_to_a_third_of_the_rows(spark, sound):
         assert set(range(20_000, 20_000 + n)) <= set(got) and got[20_001] == one[20_000]
         assert written != "utf-8" or got[20_001] == text
         assert len(got) <= n + 0.01 * len(sound)
+
+
+def test_damaged_utf8(spark, sound):
+    """A document whose only garbling lost a byte, had it replaced by a blank or was lower-cased counts and is mended."""
+    cases = {
+        30_001: ("The estimate was p = 4.7×10â»â·, and it survived.", "The estimate was p = 4.7×10⁻⁷, and it survived."),
+        30_002: ("Le seuil était limité Ã  3 sujets.", "Le seuil était limité à  3 sujets."),
+        30_003: ("The label â€œsparseâ€, but the rest is plain.", "The label “sparse”, but the rest is plain."),
+    }
+    usual = [(31_000 + i, f"Study {i} had p = {i}.5×10⁻⁷, and it was read.") for i in range(30)]
+    model = mj.train(spark.createDataFrame([x for x in sound if "Ã" not in x[1]] + usual, "doc_id bigint, text string"))
+    docs = [*((k, v[0]) for k, v in cases.items()), (30_010, "Le seuil était fixé à 3 sujets."), usual[0]]
+    got = {r["doc_id"]: r["restored"] for r in mj.garbled(spark.createDataFrame(docs, "doc_id bigint, text string"), model=model).collect()}
+    assert got == {k: v[1] for k, v in cases.items()}

@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import re
+import unicodedata
 from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,7 @@ WRITTEN_AS = ("cp1252", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp85
 SLOTS = 1 << 20
 LOST = "\ufffd"
 CAPITALS = ("lower-cased", "capitals")
+DAMAGED = "damaged utf-8"
 _DIGIT = str.maketrans("123456789", "000000000")
 _SPACE = str.maketrans("\n\r\t", "   ")
 
@@ -114,6 +117,50 @@ def repairs(run: str, depth: int = 3) -> dict[tuple, str]:
     return out
 
 
+@functools.lru_cache(None)
+def fragile(name: str) -> tuple[int, ...]:
+    """Continuation bytes of UTF-8 that an encoding reads as nothing, a control character, a blank or a soft hyphen, so that they are easily dropped or replaced later."""
+    read = ((b, _decode(bytes([b]), name)) for b in range(0x80, 0xC0))
+    return tuple(b for b, ch in read if ch is None or ch.isspace() or unicodedata.category(ch) in ("Cc", "Cf"))
+
+
+def mended(run: str, name: str, seen: Callable[[str], float], lowered: bool = False) -> str | None:
+    """The likeliest text by `seen` (log probability of a character) whose UTF-8, read in an encoding, is the run but for one fragile byte a character lost and, if lowered, for lower-casing; None if there is none."""
+
+    def codes(ch: str) -> list[int]:
+        raw = (_encode(c, name) for c in dict.fromkeys((ch, ch.upper() if lowered else ch)) if len(c) == 1)
+        return [r[0] for r in raw if r]
+
+    known = {ch: codes(ch) for ch in set(run)}
+    bytes_of = [known[ch] for ch in run]
+    n = len(run)
+    best: list[tuple[float, int, str] | None] = [(0.0, 0, ""), *[None] * n]
+    for i in range(n):
+        if best[i] is None:
+            continue
+        for lead in bytes_of[i]:
+            need = 1 if 0xC2 <= lead <= 0xDF else 2 if 0xE0 <= lead <= 0xEF else 3 if 0xF0 <= lead <= 0xF4 else 0
+            for given in (need, need - 1) if need else ():
+                if i + given >= n:
+                    continue
+                for rest in itertools.product(*bytes_of[i + 1 : i + 1 + given]):
+                    tails = [rest] if given == need else [(*rest[:k], b, *rest[k:]) for k in range(need) for b in fragile(name)]
+                    for tail in tails:
+                        ch = _decode(bytes((lead, *tail)), "utf-8")
+                        if ch is not None:
+                            score, end = best[i][0] + seen(ch), i + 1 + given
+                            if best[end] is None or score > best[end][0]:
+                                best[end] = (score, i, ch)
+    if best[n] is None:
+        return None
+    out, at = [], n
+    while at:
+        _, before, ch = best[at]
+        out.append(ch)
+        at = before
+    return "".join(reversed(out))
+
+
 def _slot3(a: int, b: int, c: int) -> int:
     return (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35 + ((a ^ c) >> 3) * 0x27D4EB2F) % SLOTS
 
@@ -264,7 +311,7 @@ def evident(run: str, spread: dict[str, tuple[int, int]]) -> bool:
 
 @dataclass
 class Finding:
-    """gain: log-likelihood won by the accepted chains; lost: characters that failed to decode; open: suspicious windows nothing explains."""
+    """gain: log-likelihood won by the accepted chains; lost: characters that failed to decode, and runs that are damaged UTF-8 but can't be mended; open: suspicious windows nothing explains."""
 
     gain: float
     chains: dict
@@ -280,6 +327,7 @@ class Judge:
         self.model, self.limits = model, limits
         self.sound: dict[str, bool] = {}
         self.gains: dict[tuple[str, str, str], dict[tuple, float]] = {}
+        self.damaged: set[tuple[str, str, str]] = set()
 
     def _sound(self, window: str) -> bool:
         ok = self.sound.get(window)
@@ -290,6 +338,9 @@ class Judge:
             ok = self.sound[window] = LOST not in run and self.model.window(left, run, right)[1] >= self.limits.surprise
         return ok
 
+    def _seen(self, ch: str) -> float:
+        return math.log((self.model.one[ord(ch) % SLOTS] + 0.01) / self.model.total)
+
     def _gains(self, left: str, run: str, right: str) -> dict[tuple, float]:
         """Chains that make the window likelier. The result of a single-byte chain must itself look sound; UTF-8 is a check in itself."""
         key = (left, run, right)
@@ -297,12 +348,24 @@ class Judge:
         if own is None:
             if len(self.gains) > 100_000:
                 self.gains.clear()
+                self.damaged.clear()
             own, score = {}, self.model.window(left, run, right)[0]
             depth = self.limits.depth if len(run) <= 2000 else 1
             for chain, result in repairs(run, depth).items():
                 new, low = self.model.window(left, result, right)
                 if new > score and (low >= self.limits.surprise or all(step[1] in ("utf-8", CAPITALS[1]) for step in chain)):
                     own[chain] = new - score
+            if not any(chain[0] != CAPITALS and chain[-1][1] == "utf-8" for chain in own):
+                for name, lowered in itertools.product(READ_AS, (False, True)):
+                    result = mended(run, name, self._seen, lowered)
+                    if result is None or result == run:
+                        continue
+                    new, low = self.model.window(left, result, right)
+                    if new - score > self.limits.margin:
+                        if low >= self.limits.surprise:
+                            own[(*(CAPITALS,) * lowered, (name, DAMAGED))] = new - score
+                        else:
+                            self.damaged.add(key)
             self.gains[key] = own
         return own
 
@@ -327,12 +390,17 @@ class Judge:
         for (s, e, w), own in zip(odd, gains, strict=True):
             if not own:
                 unexplained += 1
+                lost += parts(w, self.limits.context) in self.damaged
                 continue
             # of the chains that help here, the one that helps the document most
             chain = max(own, key=lambda c: (round(totals[c], 6), -len(c), str(c)))
             gain += own[chain]
             used[chain] += 1
-            pieces += [text[at:s], repairs(text[s:e], self.limits.depth if e - s <= 2000 else 1)[chain]]
+            if chain[-1][1] == DAMAGED:
+                result = mended(text[s:e], chain[-1][0], self._seen, chain[0] == CAPITALS)
+            else:
+                result = repairs(text[s:e], self.limits.depth if e - s <= 2000 else 1)[chain]
+            pieces += [text[at:s], result]
             at = e
         return Finding(gain, dict(used), "".join([*pieces, text[at:]]), lost, unexplained)
 
@@ -480,7 +548,7 @@ def garbled(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", li
     """(doc_id, gain, lost, open, chains, restored) of the documents with garbled text.
 
     A document counts if its accepted chains gain more than the margin, or if characters were
-    lost in decoding (U+FFFD), which no chain regains; then restored is null. `open` counts suspicious windows
+    lost in decoding (U+FFFD, damaged UTF-8 that can't be mended), which no chain regains; then restored is null. `open` counts suspicious windows
     without an explanation. Null, empty and ASCII texts are never garbled. Repeated rows give a row each.
     The model is trained on the documents themselves unless one is given.
     """
