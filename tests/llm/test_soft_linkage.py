@@ -38,6 +38,13 @@ def test_many_tellers_of_one_variant(spark):
     assert len(got) == 200 and {v[0] for v in got.values()} == {"v1"} and min(v[1] for v in got.values()) > 0.7
 
 
+def test_many_alike_variants(spark):
+    """A record that eight variants fit alike is tied to the best one."""
+    rows = [(f"v{k}", 3, 700, None, None, None) for k in range(8)]
+    got = link(spark, [("3", 700, None, None, None)], rows)
+    assert got[0][0] == "v0" and got[0][1] < 0.2
+
+
 def test_empty(spark):
     r, g = spark.createDataFrame([], REG), spark.createDataFrame([], GWAS)
     assert sl.link(r, g, sl.Rules(rounds=3)).count() == 0

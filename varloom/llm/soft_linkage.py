@@ -238,12 +238,15 @@ def link(records: DataFrame, rows: DataFrame, rules: Rules = Rules(), window: in
     """(regenie_row, snpid, confidence): at most one variant per record.
 
     A null attribute speaks neither for nor against; a record without chromosome or position
-    is tied to nothing, as nothing tells where to look. Of equal values the smaller frequency
+    is tied to nothing, as nothing tells where to look. A record is tied if its values over all
+    variants sum to least_confidence; confidence is the best one's own value. Of equal values the smaller frequency
     difference, then the smaller shift, then the smaller snpid wins. Repeated rows of either
     table change nothing. Extra columns are ignored; empty tables give no rows.
     """
     found = evidence(cut(candidates(records.dropDuplicates(["regenie_row"]), variants(rows), window, least_gap)), window, least_gap)
     solved = solve(found, rules)
     order = Window.partitionBy("regenie_row").orderBy(F.round("x", 6).desc(), F.col("gap").asc_nulls_last(), F.abs("shift"), "snpid")
-    best = solved.withColumn("rn", F.row_number().over(order)).where((F.col("rn") == 1) & (F.col("x") >= rules.least_confidence))
+    # alike variants share a record's value, so the limit holds for their sum
+    shared = F.sum("x").over(Window.partitionBy("regenie_row"))
+    best = solved.withColumns({"rn": F.row_number().over(order), "shared": shared}).where((F.col("rn") == 1) & (F.col("shared") >= rules.least_confidence))
     return best.select("regenie_row", "snpid", F.col("x").alias("confidence"))
