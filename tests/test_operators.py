@@ -274,3 +274,9 @@ def test_pushdown(spark, tmp_path):
     spark.createDataFrame([(1, 2, "a")], "x int, y int, z string").write.parquet(str(tmp_path / "t"))
     plan = spark.read.parquet(str(tmp_path / "t")).transform(composite([flt.at_least("x", 1), prj.select_columns("x")]))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x,1)" in plan and "ReadSchema: struct<x:int>" in plan
+
+
+def test_jaccard_of_disjoint_sets(spark):
+    d = spark.createDataFrame([("x", 1), ("y", 1), ("z", 2)], "s string, i int")
+    got = sorted(tuple(r) for r in agg.jaccard_pairs(d, "s", "i").collect())
+    assert got == [("x", "y", 1, 1, 1.0), ("x", "z", 0, 2, 0.0), ("y", "z", 0, 2, 0.0)]

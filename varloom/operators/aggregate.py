@@ -115,7 +115,7 @@ def collapse_assays(groups: dict[str, str], assay: str = "oid", gene: str = "gen
 def jaccard_pairs(df: DataFrame, set_col: str, item: str) -> DataFrame:
     """All pairs of the sets given, with common, joined and jaccard, for a short list of sets (a report). Pairs without a common member have 0.
 
-    Common members come from an equi-join on the item, so its work follows the overlaps; large
+    Common members come from an equi-join on the item; the result has a row for every pair of sets; large
     collections belong to the similarity join with a threshold.
     """
     d = df.select(F.col(set_col).alias("s"), F.col(item).alias("i")).where("s is not null and i is not null").distinct()
@@ -123,7 +123,7 @@ def jaccard_pairs(df: DataFrame, set_col: str, item: str) -> DataFrame:
     a, b = d.select(F.col("s").alias("set_1"), "i"), d.select(F.col("s").alias("set_2"), "i")
     common = a.join(b, "i").where("set_1 < set_2").groupBy("set_1", "set_2").agg(F.count(F.lit(1)).alias("common"))
     one, two = n.select(F.col("s").alias("set_1"), F.col("n").alias("n1")), n.select(F.col("s").alias("set_2"), F.col("n").alias("n2"))
-    every = common.join(one, "set_1").join(two, "set_2")
+    every = one.join(two, F.col("set_1") < F.col("set_2")).join(common, ["set_1", "set_2"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
     joined = F.col("n1") + F.col("n2") - F.col("common")
     return every.select("set_1", "set_2", "common", joined.alias("joined"), (F.col("common") / joined).alias("jaccard"))
 

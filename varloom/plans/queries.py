@@ -612,7 +612,7 @@ _STUDY_SETS = "d AS (SELECT DISTINCT study_id AS s, snpid AS i FROM dummy_proces
 @query(f"""WITH {_STUDY_SETS}, n AS (SELECT s, count(*) AS n FROM d GROUP BY s), c AS (SELECT a.s AS set_1, b.s AS set_2, count(*) AS common FROM d a JOIN d b ON a.i = b.i AND a.s < b.s GROUP BY ALL)
 SELECT set_1, set_2, common, x.n + y.n - common AS joined, round(common / (x.n + y.n - common), 6) AS jaccard FROM c JOIN n x ON x.s = set_1 JOIN n y ON y.s = set_2""")
 def q_jaccard_pairs(spark, sf):
-    return rounded(agg.jaccard_pairs(table(spark, sf, "dummy_processed_gwas"), "study_id", "snpid"), "jaccard")
+    return rounded(agg.jaccard_pairs(table(spark, sf, "dummy_processed_gwas"), "study_id", "snpid").where("common > 0"), "jaccard")  # as its SQL has it
 
 
 _RG = "t AS (SELECT l_returnflag || l_linestatus AS p1, l_shipmode AS p2, round(avg(CAST(l_discount AS DOUBLE)), 6) AS rg, round(avg(CAST(l_tax AS DOUBLE)), 6) AS p FROM lineitem GROUP BY ALL)"
