@@ -1,8 +1,10 @@
 """Garbled text: held-out sound documents are left alone, garbled ones are found and restored."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,12 @@ def test_damaged_utf8(spark, sound):
     docs = [*((k, v[0]) for k, v in cases.items()), (30_010, "Le seuil était fixé à 3 sujets."), usual[0]]
     got = {r["doc_id"]: r["restored"] for r in mj.garbled(spark.createDataFrame(docs, "doc_id bigint, text string"), model=model).collect()}
     assert got == {k: v[1] for k, v in cases.items()}
+
+
+def test_long_run_is_undone_to_the_full_depth():
+    text = "привет\u00a0мир\u00a0" * 300
+    twice = garble(garble(text, "utf-8", "latin-1"), "utf-8", "latin-1")
+    three, two, one = (np.zeros(mj.SLOTS, np.float32) for _ in range(3))
+    for table, seen in zip((three, two, one), mj.count_grams(Counter({("   ", text, "   "): 50})), strict=True):
+        table[list(seen)] = list(seen.values())
+    assert mj.Judge(mj.Model(three, two, one), mj.Limits()).document(twice).text == text

@@ -40,6 +40,8 @@ SLOTS = 1 << 20
 LOST = "\ufffd"
 CAPITALS = ("lower-cased", "capitals")
 DAMAGED = "damaged utf-8"
+#: Characters up to which a run's results are kept; longer ones are made anew, one at a time.
+LONG = 2000
 _DIGIT = str.maketrans("123456789", "000000000")
 _SPACE = str.maketrans("\n\r\t", "   ")
 
@@ -96,10 +98,8 @@ def _steps(run: str) -> dict[tuple[str, str], str]:
     return out
 
 
-@functools.lru_cache(30_000)
-def repairs(run: str, depth: int = 3) -> dict[tuple, str]:
-    """Chain -> result for every chain that applies to a run. Legacy pairs stand alone or last; a run lower-cased after the damage is tried in capitals."""
-    out: dict[tuple, str] = {}
+def chains(run: str, depth: int) -> Iterator[tuple[tuple, str]]:
+    """(chain, result) of every chain that applies to a run. Legacy pairs stand alone or last; a run lower-cased after the damage is tried in capitals."""
     todo = [((), run, depth)]
     upper = "".join(ch.upper() if len(ch.upper()) == 1 else ch for ch in run)
     if upper != run:
@@ -110,11 +110,15 @@ def repairs(run: str, depth: int = 3) -> dict[tuple, str]:
             if chain[:1] == (CAPITALS,) and step[1] != "utf-8":
                 continue
             whole = (*chain, step)
-            if whole not in out:
-                out[whole] = result
-                if step[1] == "utf-8" and left > 1 and RUN.search(result):
-                    todo.append((whole, result, left - 1))
-    return out
+            yield whole, result
+            if step[1] == "utf-8" and left > 1 and RUN.search(result):
+                todo.append((whole, result, left - 1))
+
+
+@functools.lru_cache(30_000)
+def repairs(run: str, depth: int = 3) -> dict[tuple, str]:
+    """Chain -> result; for runs short enough to be kept."""
+    return dict(chains(run, depth))
 
 
 @functools.lru_cache(None)
@@ -218,6 +222,12 @@ class Model:
         if hit is None:
             codes = [ord(x) for x in left + run + right]
             n = len(left)
+            if len(codes) > LONG:
+                often = Counter(zip(codes[n - 2 :], codes[n - 1 :], codes[n:-1]))
+                score = {abc: self.char(*abc) for abc in often}
+                last = tuple(codes[-4:-1])
+                low = min(v for abc, v in score.items() if abc != last or often[abc] > 1)
+                return sum(score[abc] * k for abc, k in often.items()), low
             each = [self.char(codes[i - 2], codes[i - 1], codes[i]) for i in range(n, len(codes) - 1)]
             hit = (sum(each), min(each[: len(run) + 1], default=0.0))
             if len(self.known) > 300_000:
@@ -350,8 +360,8 @@ class Judge:
                 self.gains.clear()
                 self.damaged.clear()
             own, score = {}, self.model.window(left, run, right)[0]
-            depth = self.limits.depth if len(run) <= 2000 else 1
-            for chain, result in repairs(run, depth).items():
+            depth = self.limits.depth
+            for chain, result in repairs(run, depth).items() if len(run) <= LONG else chains(run, depth):
                 new, low = self.model.window(left, result, right)
                 if new > score and (low >= self.limits.surprise or all(step[1] in ("utf-8", CAPITALS[1]) for step in chain)):
                     own[chain] = new - score
@@ -399,7 +409,8 @@ class Judge:
             if chain[-1][1] == DAMAGED:
                 result = mended(text[s:e], chain[-1][0], self._seen, chain[0] == CAPITALS)
             else:
-                result = repairs(text[s:e], self.limits.depth if e - s <= 2000 else 1)[chain]
+                run = text[s:e]
+                result = repairs(run, self.limits.depth)[chain] if len(run) <= LONG else next(x for c, x in chains(run, self.limits.depth) if c == chain)
             pieces += [text[at:s], result]
             at = e
         return Finding(gain, dict(used), "".join([*pieces, text[at:]]), lost, unexplained)
