@@ -74,7 +74,7 @@ def test_cases(spark):
 
 def test_random_lines(spark):
     rng = random.Random(7)
-    bits = ['"', '""', ",", "0.5", "NA", " ", "\r", "x", ".", "-", "1e3", "A", "é"]
+    bits = ['"', '""', ",", "0.5", "NA", " ", "\r", "x", ".", "-", "1e3", "A", "é", "_", "\v", "\f", "\n", "\0", "\t", "0x1", "inf", "nan", "\u00a0", "\ue000", "1", "e", "#", "'"]
     lines = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)]
     for _ in range(1500):
         f = GOOD.split(",")
@@ -96,6 +96,19 @@ def test_typed_rows(spark):
     assert raw["raw_text"] == line(eaf="9") and raw["snpid"] is None
 
 
+def test_values_come_back_as_they_were(spark):
+    """Line ends, zero bytes and private characters inside a field are data."""
+    ids = ["rs\ue00d1", "rs\ue0001", "rs\ue00011", "a\rb", "a\nb", "a\0b", '"q,""\ue0000"', "\ue000\r\ue000"]
+    rows = {r["line_id"]: r["snpid"] for r in split_lines(frame(spark, [line(snpid=x) for x in ids])).where("reason is null").collect()}
+    assert rows == {i: x for i, x in enumerate([*ids[:6], 'q,"\ue0000', ids[7]])}
+
+
+def test_reader_says_why(spark):
+    lines = {line(eaf='"0.5'): "quoting", line(eaf='"0.5"x'): "quoting", GOOD + ",x": "column_count", GOOD[:-8]: "column_count", line(beta="q"): "invalid_value", line(nea='""G'): "quoting", GOOD: None, line(beta="nan"): None}
+    got = {r["line_id"]: r["reader_reason"] for r in split_lines(frame(spark, lines)).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+
+
 def test_long_line_and_empty_table(spark):
     long = line(snpid='"' + "y" * 3_000_000 + '"')
     assert [r["reason"] for r in split_lines(frame(spark, [long, GOOD, "z" * 3_000_000])).orderBy("line_id").collect()] == [None, None, "column_count"]

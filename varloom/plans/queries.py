@@ -91,7 +91,23 @@ REV = "reverse(translate({}, 'ACGT', 'TGCA'))"
 # Loading delimited lines.
 
 
-@query()
+_LINE = r"""f AS (SELECT line_id, t, regexp_full_match(t, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS sound,
+length(regexp_replace(t, '(?s)"(?:[^"]|"")*"|[^,]', '', 'g')) + 1 AS fields FROM (SELECT line_id, regexp_replace(coalesce(line_text, ''), '\r\z', '') AS t FROM raw_gwas_lines)),
+v AS (SELECT *, {0} FROM f), w AS (SELECT *, {1} FROM v),
+c AS (SELECT line_id, CASE WHEN NOT sound THEN 'quoting' WHEN fields <> 12 THEN 'column_count' WHEN {2} THEN 'invalid_value' END AS reason FROM w)"""
+
+
+def _line_sql() -> str:
+    cut = r"""trim(replace(CASE WHEN starts_with({0}, '"') THEN substr({0}, 2, length({0}) - 2) ELSE {0} END, '""', '"'), ' ' || chr(9))"""
+    field = r"""regexp_extract(t, '(?s)^(?:(?:"(?:[^"]|"")*"|[^",]*),){{{0}}}("(?:[^"]|"")*"|[^",]*)', 1)"""
+    wrong = r"""({0} NOT IN ('', 'NA', '.') AND (NOT regexp_full_match({0}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') OR NOT coalesce(isfinite(TRY_CAST({0} AS DOUBLE)), false){1}))"""
+    values = {"eaf": " OR TRY_CAST(eaf AS DOUBLE) NOT BETWEEN 0 AND 1", "beta": "", "se": " OR TRY_CAST(se AS DOUBLE) <= 0"}
+    return _LINE.format(
+        ", ".join(f"{field.format(5 + k)} AS r_{n}" for k, n in enumerate(values)), ", ".join(f"{cut.format(f'r_{n}')} AS {n}" for n in values), " OR ".join(wrong.format(n, more) for n, more in values.items())
+    )
+
+
+@query(f"WITH {_line_sql()} SELECT line_id, reason FROM c WHERE reason IS NOT NULL")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.rejected_lines(table(spark, sf, "raw_gwas_lines"))
 
@@ -102,12 +118,18 @@ def p3_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.loaded_rows(table(spark, sf, "raw_gwas_lines"))
 
 
-@query()
+@query(f"WITH {_line_sql()} SELECT reason, count(*) AS n_lines FROM c GROUP BY reason")
 def p3_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Lines per reason; null is a line that loads."""
     return rejects.split_lines(table(spark, sf, "raw_gwas_lines")).groupBy("reason").agg(F.count("*").alias("n_lines"))
 
 
+@query()
+def p3_reader_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines by what the reader said and what the exact rule makes of it."""
+    return rejects.split_lines(table(spark, sf, "raw_gwas_lines")).groupBy("reader_reason", "reason").agg(F.count("*").alias("n_lines"))
+
+
 # Projection.
 
 

@@ -1,15 +1,19 @@
 """Delimited lines that do not load: typed rows on one side, rejected lines with a reason on the other.
 
-Workers read each file's lines with DuckDB's CSV reader and its reject tables. The
-lines of one batch that belong to one file are written to a private scratch file with
-an ordinal in front, read once with typed columns, and the line-level errors of the
-reject table are joined back to the raw records by that ordinal.
-
-The reader stops at some kinds of broken quoting and lets a quoted value run over the
-following lines, so lines that break the quoting grammar are set aside (by a DuckDB
-query over the raw records) before the typed read. The reader is laxer (`nan`,
-`1_000`) and stricter (` NA `) about numbers than a delivery format may ask for, so an
-exact check of the checked fields follows it.
+Workers read the lines with DuckDB's CSV reader and its reject tables, a scratch file of
+many lines at a time, with an ordinal in front of every line and an end mark behind it.
+The line-level errors of the reject table are joined back to the raw records by that
+ordinal and give the reason: a quote error, or a record that ran over its end mark, is
+`quoting`; missing or surplus columns are `column_count`; a failed cast is
+`invalid_value`. A line that holds a quote is followed by a fence, a line that brings the
+reader back to a record's start from any state, so that broken quoting never reaches the
+next record.
+
+An exact rule corrects the reader where it is known to be laxer or stricter: quotes inside
+fields or beside blanks, `nan` and `1_000`, ` NA `, ranges. It looks at lines with quotes,
+at failed casts and at loaded lines with unusual characters or values only; those are read
+a second time as text. `reader_reason` keeps what the reader itself said, so the
+differences can be counted.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,12 @@ from varloom.session import scratch_dir
 QUOTING = r'(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*'
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 BLANKS = "' ' || chr(9)"
+#: Characters that the reader may overlook or take for white space inside a number.
+LAX = r"[_\x0b\x0c]|[^\x00-\x7f]"
+#: From within a quoted value it ends the value and the record, from a record's start it is a record of its own.
+FENCE = 'x"'
+ESCAPE = "\ue000"
+ESCAPES = ((ESCAPE, "0"), ("\r", "1"), ("\n", "2"), ("\0", "3"))
 
 
 @dataclass(frozen=True)
@@ -70,92 +81,132 @@ def _typed(field: Field) -> str:
 
 
 def _read(path: str, fields: tuple[Field, ...], types: bool, longest: int) -> str:
-    """read_csv call over one scratch file: typed with reject tables, or all text with the structurally broken lines skipped."""
+    """read_csv call over one scratch file, with reject tables; checked fields typed, or all fields as text."""
     columns = {"ord": "BIGINT"} | {f.name: f.sql_type if types and f.check else "VARCHAR" for f in fields} | {"line_end": "VARCHAR"}
     spec = ", ".join(f"'{k}': '{v}'" for k, v in columns.items())
     size = max(2_097_152, 4 * longest + 64)
-    end = "store_rejects=true, rejects_limit=0, rejects_table='errors', rejects_scan='scans'" if types else "ignore_errors=true"
-    nulls = ", ".join(repr(x) for x in MISSING)
-    if types:
-        end = f"nullstr=[{nulls}], {end}"
+    nulls = f"nullstr=[{', '.join(repr(x) for x in MISSING)}], " if types else ""
     return (
         f"read_csv('{path}', header=false, auto_detect=false, delim=',', quote='\"', escape='\"', new_line='\\n', columns={{{spec}}}, "
-        f"max_line_size={size}, buffer_size={4 * size}, strict_mode=true, parallel=false, {end})"
+        f"max_line_size={size}, buffer_size={2 * size}, strict_mode=true, parallel=false, {nulls}store_rejects=true, rejects_limit=0, rejects_table='errors', rejects_scan='scans')"
     )
 
 
-def _file_part(con, raw: pa.Table, fields: tuple[Field, ...], folder: str) -> pa.Table:
-    """The lines of one file within one batch: (line_id, ordinal) with reason or typed values."""
-    con.register("raw", raw)
-    con.execute(f"CREATE OR REPLACE TEMP TABLE lines AS SELECT *, regexp_full_match(text, '{QUOTING.replace(chr(39), chr(39) * 2)}') AS sound FROM raw")
-    con.unregister("raw")
-    longest = con.execute("SELECT max(strlen(text)) FROM lines").fetchone()[0] or 0
+def _escaped(text: pa.Array) -> tuple[pa.Array, bool]:
+    """Text without line ends and zero bytes, and whether it had to be changed: "\\ue000" starts an escape, itself included."""
+    if not pc.any(pc.match_substring_regex(text, "[\\x00\\n\\r\ue000]")).as_py():
+        return text, False
+    for plain, code in ESCAPES:
+        text = pc.replace_substring(text, plain, ESCAPE + code)
+    return text, True
+
+
+def _unescaped(column: str) -> str:
+    """SQL that undoes _escaped; the escape itself comes last."""
+    for plain, code in reversed(ESCAPES):
+        column = f"replace({column}, '{ESCAPE}{code}', chr({ord(plain)}))"
+    return column
+
+
+def _write(path: str, order: pa.Array, text: pa.Array) -> None:
+    """ord,text,~ per line, with a fence behind lines that hold a quote."""
+    end = pc.if_else(pc.match_substring(text, '"'), f"~\n{FENCE}\n", "~\n")
+    lines = pc.binary_join_element_wise(order.cast(pa.string()), text, end, ",").cast(pa.large_string())
+    with open(path, "wb") as out:
+        for chunk in lines.chunks if isinstance(lines, pa.ChunkedArray) else [lines]:
+            offsets, data = chunk.buffers()[1:]
+            first, last = (int.from_bytes(offsets[8 * k : 8 * k + 8], "little") for k in (chunk.offset, chunk.offset + len(chunk)))
+            out.write(memoryview(data)[first:last] if data else b"")
+
+
+def _part(con, lines: pa.Table, fields: tuple[Field, ...], folder: str) -> pa.Table:
+    """(line_id, reason, reader_reason, raw_text, typed fields) of lines (line_id, line_text)."""
+    text = pc.replace_substring_regex(pc.fill_null(lines["line_text"].combine_chunks(), ""), "\\r\\z", "")
+    order = pa.array(range(len(text)), pa.int64())
+    longest = pc.max(pc.binary_length(text)).as_py() or 0
+    safe, changed = _escaped(text)
     path = os.path.join(folder, "part.csv")
-    kept = con.execute("SELECT ord, text FROM lines WHERE sound ORDER BY ord").fetchall()
-    with open(path, "w", encoding="utf-8", newline="") as out:
-        # A carriage return or line feed inside a line is data; it must not end the record. The end mark
-        # stands in a field of its own, as the reader overlooks a surplus empty field at a line's end.
-        out.writelines(f"{k},{t.replace(chr(13), chr(0xE00D)).replace(chr(10), chr(0xE00A)).replace(chr(0), chr(0xE000))},~\n" for k, t in kept)
-    con.execute("DROP TABLE IF EXISTS errors; DROP TABLE IF EXISTS scans")
+    _write(path, order, safe)
+    con.register("lines", pa.table({"ord": order, "line_id": lines["line_id"], "line_text": lines["line_text"], "text": text}))
     names = ", ".join(f.name for f in fields)
-    if kept:
-        con.execute(f"CREATE OR REPLACE TEMP TABLE loaded AS SELECT ord FROM {_read(path, fields, True, longest)}")
-        con.execute(
-            """CREATE OR REPLACE TEMP TABLE rejected AS
-            SELECT k.ord, min(CASE WHEN e.error_type = 'CAST' THEN 1 ELSE 0 END) AS only_cast
-            FROM errors e JOIN (SELECT ord, row_number() OVER (ORDER BY ord) AS line FROM lines WHERE sound) k USING (line) GROUP BY k.ord"""
-        )
+    checked = [f for f in fields if f.check]
+    con.execute("DROP TABLE IF EXISTS errors; DROP TABLE IF EXISTS scans")
+    con.execute(f"CREATE OR REPLACE TEMP TABLE loaded AS SELECT ord, {names} FROM {_read(path, fields, True, longest)}")
+    # the reader's own verdict, and the exact rule of structure for lines that hold a quote or that the reader is silent about
+    con.execute(
+        f"""CREATE OR REPLACE TEMP TABLE verdict AS
+        WITH e AS (SELECT TRY_CAST(regexp_extract(csv_line, '^([0-9]+),', 1) AS BIGINT) AS ord,
+            min(CASE WHEN error_type = 'UNQUOTED VALUE' OR contains(csv_line, chr(10)) THEN 1 WHEN error_type = 'CAST' THEN 3 ELSE 2 END) AS code FROM errors GROUP BY ALL),
+        r AS (SELECT l.ord, l.line_id, l.line_text, l.text, e.code, d.ord IS NOT NULL AS loaded, contains(l.text, '"') OR (e.code IS NULL AND d.ord IS NULL) AS look,
+            d.ord IS NOT NULL AND ({" OR ".join(f"NOT isfinite(d.{f.name})" for f in checked)}) AS odd FROM lines l LEFT JOIN e USING (ord) LEFT JOIN loaded d USING (ord)),
+        x AS (SELECT *, NOT look OR regexp_full_match(text, '{QUOTING}') AS sound,
+            CASE WHEN look THEN 1 + len(regexp_replace(text, '(?s)"(?:[^"]|"")*"|[^,]', '', 'g')) END AS n FROM r)
+        SELECT ord, line_id, line_text, CASE code WHEN 1 THEN 'quoting' WHEN 2 THEN 'column_count' WHEN 3 THEN 'invalid_value' END AS reader_reason,
+            CASE WHEN NOT sound THEN 'quoting' WHEN look AND n <> {len(fields)} OR NOT look AND code < 3 THEN 'column_count' END AS broken,
+            NOT loaded OR coalesce(odd, false) OR regexp_matches(text, '{LAX}') AS again FROM x"""
+    )
+    again = con.sql("SELECT ord FROM verdict WHERE broken IS NULL AND again ORDER BY ord").to_arrow_table()["ord"].combine_chunks()
+    if len(again):
+        _write(path, again, safe.take(again))
+        con.execute("DROP TABLE IF EXISTS errors; DROP TABLE IF EXISTS scans")
         con.execute(f"CREATE OR REPLACE TEMP TABLE texts AS SELECT ord, {names} FROM {_read(path, fields, False, longest)}")
     else:
-        con.execute("CREATE OR REPLACE TEMP TABLE rejected (ord BIGINT, only_cast INTEGER)")
         con.execute(f"CREATE OR REPLACE TEMP TABLE texts (ord BIGINT, {', '.join(f.name + ' VARCHAR' for f in fields)})")
-    bad = " OR ".join(_bad(f) for f in fields if f.check)
-    back = ", ".join(f"replace(replace(replace({f.name}, chr({0xE00D}), chr(13)), chr({0xE00A}), chr(10)), chr({0xE000}), chr(0)) AS {f.name}" for f in fields)
-    return con.sql(
-        f"""WITH t AS (SELECT ord, {back} FROM texts)
-        SELECT l.ord, CASE WHEN NOT l.sound THEN 'quoting' WHEN r.only_cast = 0 OR t.ord IS NULL THEN 'column_count' WHEN {bad} THEN 'invalid_value' END AS reason,
-        {", ".join(_typed(f) for f in fields)}
-        FROM lines l LEFT JOIN rejected r USING (ord) LEFT JOIN t USING (ord)"""
+
+    def back(f: Field, typed: bool) -> str:
+        return f"{_unescaped(f.name)} AS {f.name}" if changed and not (typed and f.check) else f.name
+
+    ranges = {"share": "({0} < 0 OR {0} > 1)", "positive": "{0} <= 0"}
+    outside = " OR ".join(ranges[f.check].format(f.name) for f in checked if f.check in ranges) or "false"
+    bad = " OR ".join(_bad(f) for f in checked) or "false"
+    out = con.sql(
+        f"""WITH d AS (SELECT ord, {", ".join(back(f, True) for f in fields)} FROM loaded WHERE ord NOT IN (SELECT ord FROM texts)),
+        t AS (SELECT ord, {", ".join(back(f, False) for f in fields)} FROM texts),
+        v AS (SELECT ord, coalesce({outside}, false) AS bad, {", ".join(f.name if f.check else _typed(f) for f in fields)} FROM d
+              UNION ALL SELECT ord, coalesce({bad}, false), {", ".join(_typed(f) for f in fields)} FROM t)
+        SELECT s.line_id, coalesce(s.broken, CASE WHEN v.bad OR v.ord IS NULL THEN 'invalid_value' END) AS reason, s.reader_reason, CASE WHEN s.broken IS NOT NULL OR v.bad OR v.ord IS NULL THEN s.line_text END AS raw_text,
+        {", ".join(f"CASE WHEN s.broken IS NULL AND NOT v.bad THEN v.{f.name} END AS {f.name}" for f in fields)} FROM verdict s LEFT JOIN v USING (ord) ORDER BY ord"""
     ).to_arrow_table()
+    con.unregister("lines")
+    return out
 
 
-def split_lines(df: DataFrame, fields: tuple[Field, ...] = GWAS_FIELDS, line_id: str = "line_id", file: str = "file_name", text: str = "line_text") -> DataFrame:
-    """One row per line: line_id, reason (null for a line that loads), the line's text if rejected, and the typed fields if it loads.
+def split_lines(df: DataFrame, fields: tuple[Field, ...] = GWAS_FIELDS, line_id: str = "line_id", text: str = "line_text", lines_at_once: int = 32_768, bytes_at_once: int = 16 << 20) -> DataFrame:
+    """One row per line: line_id, reason (null for a line that loads), reader_reason (what the CSV reader itself said), raw_text (the line if rejected) and the typed fields if it loads.
 
-    No shuffle: lines stay in the partition they were read in, and a file's lines are read
-    in as many pieces as there are batches, so one very large file is spread over all tasks.
-    A null line has no fields: `column_count`. An empty line has one field: `column_count`.
+    No shuffle: lines stay in the partition they were read in and are read `lines_at_once` or
+    about `bytes_at_once` at a time, so one very large file is spread over all tasks.
+    A null or empty line has one field: `column_count`.
     Extra columns of df are ignored. An empty table gives an empty result.
     """
-    schema = pa.schema([pa.field("line_id", pa.int64()), pa.field("reason", pa.string()), pa.field("raw_text", pa.string()), *(pa.field(f.name, _ARROW[f.sql_type]) for f in fields)])
+    schema = pa.schema([("line_id", pa.int64()), ("reason", pa.string()), ("reader_reason", pa.string()), ("raw_text", pa.string()), *((f.name, _ARROW[f.sql_type]) for f in fields)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         folder = scratch_dir()
+
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _part(con, pa.Table.from_batches(held), fields, folder).cast(schema).to_batches()
+
         try:
+            held: list[pa.RecordBatch] = []
+            rows = size = 0
             for batch in batches:
-                frame = batch.to_pandas()
-                whole = frame["line_text"].fillna("").str.removesuffix("\r")
-                frame = frame.assign(text=whole, absent=frame["line_text"].isna())
-                for _, part in frame.groupby("file_name", dropna=False, sort=False):
-                    part = part.reset_index(drop=True)
-                    raw = pa.table({"ord": pa.array(range(len(part)), pa.int64()), "text": pa.array(part["text"], pa.string())})
-                    done = _file_part(con, raw, fields, folder).to_pandas(types_mapper=None, integer_object_nulls=True)
-                    done = done.sort_values("ord").reset_index(drop=True)
-                    reason = done["reason"].where(~part["absent"], "column_count")
-                    out = {"line_id": pa.array(part["line_id"], pa.int64()), "reason": pa.array(reason, pa.string(), from_pandas=True)}
-                    out["raw_text"] = pa.array(part["line_text"].where(reason.notna(), None), pa.string(), from_pandas=True)
-                    for f in fields:
-                        out[f.name] = pa.array(done[f.name].where(reason.isna(), None), _ARROW[f.sql_type], from_pandas=True)
-                    yield from pa.table(out, schema=schema).to_batches()
+                held.append(batch)
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+                if rows >= lines_at_once or size >= bytes_at_once:
+                    yield from done(held)
+                    held, rows, size = [], 0, 0
+            if rows:
+                yield from done(held)
         finally:
             con.close()
             shutil.rmtree(folder, ignore_errors=True)
 
-    source = df.select(F.col(line_id).cast("bigint").alias("line_id"), F.col(file).cast("string").alias("file_name"), F.col(text).cast("string").alias("line_text"))
-    ddl = "line_id bigint, reason string, raw_text string, " + ", ".join(f"{f.name} {_SPARK[f.sql_type]}" for f in fields)
+    source = df.select(F.col(line_id).cast("bigint").alias("line_id"), F.col(text).cast("string").alias("line_text"))
+    ddl = "line_id bigint, reason string, reader_reason string, raw_text string, " + ", ".join(f"{f.name} {_SPARK[f.sql_type]}" for f in fields)
     return source.mapInArrow(read, ddl)
 
 
@@ -166,4 +217,4 @@ def rejected_lines(df: DataFrame, **options) -> DataFrame:
 
 def loaded_rows(df: DataFrame, **options) -> DataFrame:
     """The typed rows of the lines that load."""
-    return split_lines(df, **options).where(F.col("reason").isNull()).drop("reason", "raw_text")
+    return split_lines(df, **options).where(F.col("reason").isNull()).drop("reason", "reader_reason", "raw_text")
