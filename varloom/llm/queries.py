@@ -33,9 +33,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_links(spark: SparkSession, sf: str) -> DataFrame:
-    """The links with their confidence."""
+    """The links with their confidence, the number of variants that competed and the solver's residual."""
     links = soft_linkage.link(table(spark, sf, "regenie_variants"), table(spark, sf, "dummy_processed_gwas"))
-    return links.select("regenie_row", "snpid", F.round("confidence", 4).alias("confidence"))
+    return links.select("regenie_row", "snpid", F.round("confidence", 4).alias("confidence"), "candidates", F.round("residual", 4).alias("residual"))
 
 
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
