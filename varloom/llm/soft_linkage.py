@@ -312,35 +312,40 @@ def with_blocks(pairs: DataFrame) -> DataFrame:
 def solve(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Adds x, the truth value of match(regenie_row, snpid), and residual, how far the solution is from agreement, to pairs with columns s, weakest and block.
 
-    Blocks that share no variant with others are settled in one pass. The others exchange the
+    Blocks that share no variant with others are settled in one pass. The others are solved as
+    one block if a task can hold it (AT_ONCE pairs); beyond that they exchange the
     values of shared variants, one small aggregation a round, until they agree within the
     tolerance; if they don't in `rounds` rounds, the residual says so.
     """
     names = pairs.columns
     spread = pairs.groupBy("snpid", "block").agg(F.count("*").alias("n")).groupBy("snpid").agg(F.count("*").alias("k")).where("k > 1")
-    p = pairs.join(broadcast_if_small(cut(spread)), "snpid", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "anchor": F.lit(None).cast("double")})
+    p = pairs.join(broadcast_if_small(spread), "snpid", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "anchor": F.lit(None).cast("double")})
     first = cut(_solve_blocks(p.select(*names, "k", "anchor"), rules))
     out = ("x", "residual")
+    blocks = broadcast_if_small(cut(first.where("k > 1").select("block").distinct()))
+    alone, coupled = first.join(blocks, "block", "left_anti").select(*names, *out), cut(first.join(blocks, "block", "left_semi"))
+    pairs_left = coupled.count()
+    if not pairs_left:
+        return alone
+    if pairs_left <= AT_ONCE:
+        whole = coupled.select(*(F.lit(0).cast("bigint").alias("block") if c == "block" else F.col(c) for c in names), F.lit(1).cast("bigint").alias("k"), "anchor")
+        return alone.unionByName(_solve_blocks(whole, rules).select(*names, *out))
     # a block's copies of the variants it shares: value h, dual u
-    copies = cut(first.where("k > 1").groupBy("block", "snpid").agg(F.first("h").alias("h")).withColumn("u", F.lit(0.0)))
-    if not copies.limit(1).count():
-        return first.select(*names, *out)
-    blocks = broadcast_if_small(cut(copies.select("block").distinct()))
-    alone, coupled = first.join(blocks, "block", "left_anti"), cut(first.join(blocks, "block", "left_semi").drop("x", "h", "residual", "anchor"))
-    solved, before, worst = None, None, None
+    copies = coupled.where("k > 1").groupBy("block", "snpid").agg(F.first("h").alias("h")).withColumn("u", F.lit(0.0))
+    coupled = coupled.select(*names, "k")
+    solved, before, worst = None, None, 1.0
     for _ in range(rules.rounds):
         mean = copies.groupBy("snpid").agg(F.avg(F.col("h") + F.col("u")).alias("mean"))
         copies = cut(copies.join(mean, "snpid").select("block", "snpid", "h", "mean", (F.col("u") + F.col("h") - F.col("mean")).alias("u")))
-        apart, total = copies.agg(F.max(F.abs(F.col("h") - F.col("mean"))), F.sum("mean")).first()
-        worst = max(apart, abs(total - before) / max(copies.count(), 1) if before is not None else 1.0)
-        before = total
+        apart, total, n = copies.agg(F.max(F.abs(F.col("h") - F.col("mean"))), F.sum("mean"), F.count("*")).first()
+        worst, before = max(apart, abs(total - before) / n if before is not None else 1.0), total
         if solved is not None and worst < rules.tolerance:
             break
         anchors = copies.select("block", "snpid", (F.col("mean") - F.col("u")).alias("anchor"))
         solved = cut(_solve_blocks(coupled.join(anchors, ["block", "snpid"], "left").select(*names, "k", "anchor"), rules))
         moved = solved.where("anchor is not null").groupBy("block", "snpid").agg(F.first("h").alias("h"))
         copies = moved.join(copies.drop("h", "mean"), ["block", "snpid"])
-    return alone.select(*names, *out).unionByName(solved.select(*names, "x", F.greatest("residual", F.lit(float(worst))).alias("residual")))
+    return alone.unionByName(solved.select(*names, "x", F.greatest("residual", F.lit(float(worst))).alias("residual")))
 
 
 def link(records: DataFrame, rows: DataFrame, rules: Rules = Rules(), window: int = 12, least_gap: float = 0.1, reach: int = 64) -> DataFrame:
