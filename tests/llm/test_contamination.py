@@ -1,8 +1,12 @@
 """Leak search against all runs of words."""
 
 import random
+import tracemalloc
 
-from varloom.llm.contamination import leaks, shard_matches, vocabulary, without_leaks, word_ids, words
+import numpy as np
+
+from varloom.llm import contamination
+from varloom.llm.contamination import Passages, leaks, shard_matches, without_leaks, word_ids, words
 
 
 def brute(docs, items, n):
@@ -56,11 +60,32 @@ def test_random(spark):
 
 
 def test_no_match_across_documents_or_items():
-    items = [(1, "a b c d".split()), (2, "e f g h".split())]
-    known = vocabulary(items)
+    items = Passages([(1, "a b c d".split()), (2, "e f g h".split())])
+    known = items.known
     docs = [(1, word_ids("x a b".split(), known)), (2, word_ids("c d y".split(), known)), (3, word_ids("c d e f".split(), known))]
-    assert len(shard_matches(docs, items, known, 3)) == 0
-    assert len(shard_matches([(4, word_ids("b c d".split(), known))], items, known, 3)) == 1
+    assert len(shard_matches(docs, items, 3)) == 0
+    assert len(shard_matches([(4, word_ids("b c d".split(), known))], items, 3)) == 1
+
+
+def test_equal_words_in_bounded_memory():
+    """A long run of one word meets a passage of that word: only starts that cannot be moved back are extended, in pieces."""
+    items = Passages([(7, ["0"] * 100)])
+    text = np.zeros(1_000_000, np.int32)
+    tracemalloc.start()
+    got = shard_matches([(1, text), (2, text[:20]), (3, text[:11])], items, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_numpy().tolist() == [[1, 7, 100, 0, 0], [2, 7, 20, 0, 0]] and peak < 1 << 30
+
+
+def test_groups_of_passages(spark, monkeypatch):
+    rng = random.Random(3)
+    docs, items = make(rng, "abcdefg")
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    whole = sorted(map(tuple, leaks(d, e, 4).collect()))
+    monkeypatch.setattr(contamination, "GROUP_CHARS", 150)
+    monkeypatch.setattr(contamination, "PAIRS_AT_ONCE", 7)
+    assert sorted(map(tuple, leaks(d, e, 4).collect())) == whole and {x[:2] for x in whole} == brute(docs, items, 4)
 
 
 def test_empty_tables_and_long_text(spark):
