@@ -31,26 +31,47 @@ def test_near_copies_and_groups(spark):
     assert kinds.count(0) <= 4  # of 16, where half of all rows are of this kind
 
 
+def sparse(x):
+    return ds.Rows(np.arange(len(x)), np.tile(np.arange(x.shape[1]), len(x)), x.ravel(), np.arange(len(x) + 1) * x.shape[1], np.linalg.norm(x, axis=1))
+
+
 def test_pivots_agree_with_greedy():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(60, 20))
-    places, lengths = ds.pivoted(np.arange(60), x, np.zeros((20, 0)), 10, 1e-6)
-    r, chosen = x.copy(), []
-    for _ in range(10):
-        p = int(np.argmax((r**2).sum(1)))
-        chosen.append(p)
-        q = r[p] / np.linalg.norm(r[p])
-        r = r - np.outer(r @ q, q)
-    assert places.tolist() == chosen and (np.diff(lengths) <= 1e-9).all()
+    for n in (60, 400):
+        x = rng.normal(size=(n, 20))
+        places, lengths, new = ds.pivoted(sparse(x), np.zeros((20, 0)), 10, 1e-6, 20)
+        r, chosen = x.copy(), []
+        for _ in range(10):
+            p = int(np.argmax((r**2).sum(1)))
+            chosen.append(p)
+            q = r[p] / np.linalg.norm(r[p])
+            r = r - np.outer(r @ q, q)
+        assert places.tolist() == chosen and (np.diff(lengths) <= 1e-9).all()
+        more, _, _ = ds.pivoted(sparse(x), new, 5, 1e-6, 20)
+        for p in more.tolist():
+            assert p == int(np.argmax((r**2).sum(1)))
+            q = r[p] / np.linalg.norm(r[p])
+            r = r - np.outer(r @ q, q)
+
+
+def test_no_copy_while_an_independent_record_remains(spark):
+    """Large copied records are longer rows than small independent ones, which come first all the same."""
+    rng = random.Random(6)
+    big = [sorted(rng.sample(range(5000), 80)) for _ in range(10)]
+    items = [(i, x) for i in range(300) for x in (big[i % 10] if i % 3 else [*big[i % 10][:-6], *range(9000 + 6 * i, 9006 + 6 * i)])]
+    items += [(i, 20_000 + 4 * i + x) for i in range(300, 340) for x in range(4)]
+    got = ds.select_varied(*frames(spark, [(i, "g") for i in range(340)], items), k=60).orderBy("place").collect()
+    small = [r["place"] for r in got if r["id"] >= 300]
+    assert len(small) == 40 and max(small) <= 50 and {r["id"] % 10 for r in got[:50] if r["id"] < 300} == set(range(10))
+    assert all(a["tolerance"] >= b["tolerance"] for a, b in zip(got, got[1:]))
 
 
 def test_small_and_odd_inputs(spark):
     groups = [(1, None), (1, None), (2, "a"), (3, "a"), (4, "b"), (None, "z")]
     items = [(2, 5), (2, 5), (3, 5), (4, None), (9, 1)]
     got = ds.select_varied(*frames(spark, groups, items), k=10).collect()
-    assert sorted(r["id"] for r in got) == [1, 2, 3, 4]  # a copy comes only in a later lap
-    lap = {r["id"]: r["lap"] for r in got}
-    assert max(lap[2], lap[3]) == 2 and min(lap[2], lap[3]) == 1
+    assert sorted(r["id"] for r in got) == [1, 2, 3, 4]  # a copy comes last
+    assert {r["place"]: r["id"] for r in got}[4] == 3 and [r["tolerance"] for r in got if r["id"] == 3] == [0.0]
     assert ds.select_varied(*frames(spark, groups, items), k=2).count() == 2
     r, i = frames(spark, groups, items)
     assert ds.select_varied(r.limit(0), i, k=3).count() == 0

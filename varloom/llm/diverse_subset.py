@@ -1,14 +1,18 @@
 """Choosing a varied subset by tournament-pivoted rank-revealing QR.
 
-Every record is a unit feature row: its items, hashed with signs into `item_dims`
+Every record is a sparse feature row: its items, hashed with signs into `item_dims`
 dimensions, and its group (collection) in dimensions of its own. In a round every task
-runs a QR with row pivoting over its rows, a block at a time, and nominates the
+runs a QR with row pivoting over its rows and nominates the
 `block` rows that are most independent of each other and of what is already chosen;
 nominees meet in pairs, tree level by tree level, and are pivoted again until one block
-is left. All rows are deflated by the chosen ones and the next round begins. A record
-close to a chosen one has almost nothing left after deflation, so near-copies are passed
-over. If the chosen rows span everything before k records are found, a new lap starts
-over the rows not chosen yet.
+is left. All rows are deflated by the chosen ones and the next round begins.
+
+Residual lengths are those of sparse rows against an orthonormal basis, so a row costs its
+items times the directions, and a row's residual is looked at again only where the old, larger one
+would make it the pivot. A row may be a pivot only if `tolerance` of its own length is
+left, whatever longer rows there are; the tolerance is lowered once no row has it left. So a
+near-copy of a chosen record is passed over as long as a more independent record remains,
+and exact copies come last of all. The chosen rows and their directions are kept throughout.
 """
 
 from __future__ import annotations
@@ -21,10 +25,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varloom.session import cut
 
-ROWS_AT_ONCE = 2048
+ROWS_AT_ONCE = 65_536
+#: Products of entries and directions made at a time.
+PRODUCTS_AT_ONCE = 4_000_000
+#: Shares of a row's own length that must be left for it to be a pivot; the next one holds once no row meets the one before.
+TOLERANCES = (0.8, 0.6, 0.4, 0.2, 0.01)
 
 
 @dataclass(frozen=True)
@@ -35,7 +44,7 @@ class Space:
     proportion to the logarithm), as a record with many items covers more.
     """
 
-    item_dims: int = 512
+    item_dims: int = 8192
     group_dims: int = 64
     group_share: float = 0.4
     full_size: int = 64
@@ -46,7 +55,7 @@ class Space:
 
 
 def features(records: DataFrame, items: DataFrame, space: Space = Space()) -> DataFrame:
-    """(id, slots, vals): sparse rows of length 1 at most, with at most dims entries.
+    """(id, slots, vals, own): sparse rows of length 1 at most, with at most dims entries; own is the length of the item part, or of the group's where there are no items.
 
     Up to group_dims groups have a dimension each; more are hashed into them.
 
@@ -74,101 +83,166 @@ def features(records: DataFrame, items: DataFrame, space: Space = Space()) -> Da
         "id",
         F.when(full, F.concat(F.col("e.slot"), F.array("gslot"))).otherwise(F.array("gslot")).alias("slots"),
         F.when(full, F.concat(own, F.array(F.lit(math.sqrt(space.group_share)).cast("float")))).otherwise(F.array(F.lit(math.sqrt(space.group_share)).cast("float"))).alias("vals"),
+        F.coalesce(F.when(norm > 0, length), F.lit(math.sqrt(space.group_share))).alias("own"),
     )
 
 
-def pivoted(ids: np.ndarray, rows: np.ndarray, basis: np.ndarray, block: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """QR with row pivoting after deflation by basis (dims x r, orthonormal): places of the pivots in order, and their residual lengths.
-
-    Stops where no row has more than `tolerance` of its length left. Ties go to the smaller id.
+@dataclass
+class Rows:
+    """Sparse rows: row i has the entries [starts[i], starts[i + 1]) of slots and vals."""
+
+    ids: np.ndarray
+    slots: np.ndarray
+    vals: np.ndarray
+    starts: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, f: pd.DataFrame) -> Rows:
+        f = f.sort_values("id", kind="stable")
+        counts = np.fromiter((len(s) for s in f["slots"]), np.int64, len(f))
+        slots, vals = (np.concatenate(f[c].to_numpy()) if len(f) else np.zeros(0) for c in ("slots", "vals"))
+        return cls(f["id"].to_numpy(np.int64), slots.astype(np.int64), vals.astype(np.float64), np.concatenate(([0], np.cumsum(counts))), f["own"].to_numpy(np.float64))
+
+    def frame(self, at: np.ndarray) -> pd.DataFrame:
+        cut = [slice(self.starts[i], self.starts[i + 1]) for i in at]
+        return pd.DataFrame({"id": self.ids[at], "slots": [self.slots[c].astype(np.int32) for c in cut], "vals": [self.vals[c].astype(np.float32) for c in cut], "own": self.own[at]})
+
+    def dense(self, i: int, dims: int) -> np.ndarray:
+        c = slice(self.starts[i], self.starts[i + 1])
+        return np.bincount(self.slots[c], self.vals[c], dims)
+
+    def along(self, at: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        """Squared length of rows `at` within the basis (dims x r, orthonormal)."""
+        out = np.zeros(len(at))
+        if not basis.shape[1]:
+            return out
+        counts = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(counts)
+        step, i = max(1, PRODUCTS_AT_ONCE // basis.shape[1]), 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + step, side="right")))
+            n, first = counts[i:j], self.starts[at[i:j]]
+            before = np.cumsum(n) - n
+            entry = np.repeat(first - before, n) + np.arange(n.sum())
+            parts = np.add.reduceat(basis[self.slots[entry]] * self.vals[entry, None], before, axis=0)
+            out[i:j] = np.einsum("ij,ij->i", parts, parts)
+            i = j
+        return out
+
+
+def pivoted(rows: Rows, basis: np.ndarray, block: int, tolerance: float, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """QR with row pivoting after deflation by basis: places of the pivots in order, their residual lengths and directions.
+
+    The pivot is the longest residual of the rows that have `tolerance` of their own length left.
+    Residuals only shrink, so the top of the old ones is brought up to date until the
+    longest is known. Ties go to the smaller id.
     """
-    order = np.argsort(ids, kind="stable")
-    r = rows[order].astype(np.float64)
-    for _ in range(2):  # twice is enough against rounding
-        r -= (r @ basis) @ basis.T
-    left = np.einsum("ij,ij->i", r, r)
-    places, lengths = [], []
-    for _ in range(min(block, len(ids))):
-        p = int(np.argmax(np.round(left, 9)))
-        if left[p] < tolerance**2:
+    n = len(rows.ids)
+    all_rows = np.arange(n)
+    square = np.add.reduceat(rows.vals**2, rows.starts[:-1]) if n else np.zeros(0)
+    start = square - rows.along(all_rows, basis)
+    least = (tolerance * rows.own) ** 2
+
+    def score(left: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(left >= least[at], np.round(left, 9), -1.0)
+
+    upper, seen = score(start, all_rows), np.zeros(n, np.int64)
+    places, lengths, new = [], [], np.zeros((dims, min(block, n)))
+    for t in range(min(block, n)):
+        while True:
+            p = int(np.argmax(upper))
+            if upper[p] <= 0 or seen[p] == t:
+                break
+            top = np.argpartition(upper, -min(64, n))[-min(64, n) :]
+            top = np.append(top[(seen[top] < t) & (upper[top] > 0)], p) if n > 64 else np.flatnonzero((seen < t) & (upper > 0))
+            upper[top], seen[top] = score(start[top] - rows.along(top, new[:, :t]), top), t
+        if upper[p] <= 0:
             break
-        q = r[p] / math.sqrt(left[p])
-        places.append(order[p])
-        lengths.append(math.sqrt(left[p]))
-        w = r @ q
-        r -= np.outer(w, q)
-        left = np.maximum(left - w * w, 0)
-        left[p] = 0
-    return np.array(places, np.int64), np.array(lengths)
-
-
-def _dense(f: pd.DataFrame, dims: int) -> np.ndarray:
-    x = np.zeros((len(f), dims), np.float32)
-    if len(f):
-        lengths = [len(s) for s in f["slots"]]
-        x[np.repeat(np.arange(len(f)), lengths), np.concatenate(f["slots"].to_numpy())] = np.concatenate(f["vals"].to_numpy())
-    return x
+        v = rows.dense(p, dims)
+        for _ in range(2):  # twice is enough against rounding
+            v -= basis @ (basis.T @ v) + new[:, :t] @ (new[:, :t].T @ v)
+        length = float(np.linalg.norm(v))
+        if length < 1e-6:
+            upper[p] = -1.0
+            continue
+        new[:, len(places)] = v / length
+        places.append(p)
+        lengths.append(length)
+        upper[p], seen[p] = -1.0, np.iinfo(np.int64).max
+    return np.array(places, np.int64), np.array(lengths), new[:, : len(places)]
 
 
-def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = Space(), block: int = 64, tolerance: float = 0.3) -> DataFrame:
-    """(place, id, lap, residual): k records, or all if there are fewer, in order of choice.
+def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = Space(), block: int = 128, tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
+    """(place, id, tolerance, residual): k records, or all if there are fewer, in order of choice.
 
-    records: (id, group); items: (id, item). The driver holds the chosen rows (at most k x
-    dims numbers) and the last block of nominees. Ties go to the smaller id; an empty table gives no rows.
+    records: (id, group); items: (id, item). The driver and every task hold the directions chosen so far (at most k x
+    dims numbers) and a block of nominees; neither grows with the records. Records that lie wholly
+    in what the chosen ones span come last, the longest residual first, with tolerance 0.
+    Ties go to the smaller id; an empty table gives no rows.
     """
     spark = records.sparkSession
     base = cut(features(records, items, space))
     tasks = base.rdd.getNumPartitions()
-    schema = "node int, id bigint, x binary"
-    chosen: list[tuple[int, int, int, float]] = []
-    basis, taken, lap = np.zeros((space.dims, 0)), set(), 1
+    schema = "node int, id bigint, slots array<int>, vals array<float>, own double"
+    chosen: list[tuple[int, int, float, float]] = []
+    basis, dims, level = np.zeros((space.dims, 0)), space.dims, 0
 
-    def pack_rows(node: int, ids, rows) -> pd.DataFrame:
-        return pd.DataFrame({"node": np.full(len(ids), node, np.int32), "id": ids, "x": [v.tobytes() for v in rows.astype(np.float32)]})
+    while len(chosen) < k and level < len(tolerances):
+        tolerance = tolerances[level]
+        carried = spark.sparkContext.broadcast(basis.astype(np.float32))
 
-    while len(chosen) < k:
-        carried = spark.sparkContext.broadcast((basis, frozenset(taken) if lap > 1 else frozenset()))
+        def best(f: pd.DataFrame, q: np.ndarray, tolerance=tolerance) -> pd.DataFrame:
+            rows = Rows.of(f)
+            return rows.frame(pivoted(rows, q, block, tolerance, dims)[0])
 
-        def nominate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def nominate(frames: Iterator[pd.DataFrame], carried=carried, best=best) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            q, gone = carried.value
-            ids, rows = np.zeros(0, np.int64), np.zeros((0, space.dims), np.float32)
+            q, held, n, kept = carried.value.astype(np.float64), [], 0, None
             for f in frames:
-                for i in range(0, len(f), ROWS_AT_ONCE):
-                    part = f.iloc[i : i + ROWS_AT_ONCE]
-                    if gone:
-                        part = part[~part["id"].isin(gone)]
-                    ids = np.concatenate([ids, part["id"].to_numpy(np.int64)])
-                    rows = np.concatenate([rows, _dense(part, space.dims)])
-                    best, _ = pivoted(ids, rows, q, block, tolerance)
-                    ids, rows = ids[best], rows[best]
-            if len(ids):
-                yield pack_rows(TaskContext.get().partitionId(), ids, rows)
-
-        def meet(f: pd.DataFrame) -> pd.DataFrame:
-            ids = f["id"].to_numpy(np.int64)
-            rows = np.frombuffer(b"".join(f["x"]), np.float32).reshape(len(f), space.dims)
-            best, _ = pivoted(ids, rows, carried.value[0], block, tolerance)
-            return pack_rows(int(f["node"].iloc[0]), ids[best], rows[best])
+                held.append(f)
+                n += len(f)
+                if n >= ROWS_AT_ONCE:
+                    kept = best(pd.concat([*held, kept] if kept is not None else held, ignore_index=True), q)
+                    held, n = [], 0
+            if held:
+                kept = best(pd.concat([*held, kept] if kept is not None else held, ignore_index=True), q)
+            if kept is not None and len(kept):
+                kept.insert(0, "node", np.int32(TaskContext.get().partitionId()))
+                yield kept
+
+        def meet(f: pd.DataFrame, carried=carried, best=best) -> pd.DataFrame:
+            out = best(f.drop(columns="node"), carried.value.astype(np.float64))
+            out.insert(0, "node", f["node"].iloc[0])
+            return out
 
         nominees = base.mapInPandas(nominate, schema)
         for _ in range(max(0, math.ceil(math.log2(max(tasks, 1))))):
             nominees = nominees.withColumn("node", F.expr("node div 2").cast("int")).groupBy("node").applyInPandas(meet, schema)
         final = nominees.limit(block).toPandas()
         if not len(final):
-            if not basis.shape[1]:
-                break  # every record is chosen
-            basis, lap = np.zeros((space.dims, 0)), lap + 1
-            taken = {c[1] for c in chosen}
+            level += 1
             continue
-        ids = final["id"].to_numpy(np.int64)
-        rows = np.frombuffer(b"".join(final["x"]), np.float32).reshape(len(final), space.dims)
-        best, lengths = pivoted(ids, rows, basis, min(block, k - len(chosen)), tolerance)
-        for p, residual in zip(best, lengths, strict=True):
-            chosen.append((len(chosen) + 1, int(ids[p]), lap, float(residual)))
-            v = rows[p].astype(np.float64)
-            for _ in range(2):
-                v = v - basis @ (basis.T @ v)
-            basis = np.column_stack([basis, v / np.linalg.norm(v)])
-    return spark.createDataFrame(chosen, "place int, id bigint, lap int, residual double")
+        rows = Rows.of(final)
+        places, lengths, new = pivoted(rows, basis, min(block, k - len(chosen)), tolerance, dims)
+        if not len(places):
+            level += 1
+        chosen += [(len(chosen) + i + 1, int(rows.ids[p]), float(tolerance), float(r)) for i, (p, r) in enumerate(zip(places, lengths, strict=True))]
+        basis = np.column_stack([basis, new])
+    done = spark.createDataFrame(chosen, "place int, id bigint, tolerance double, residual double")
+    if len(chosen) == k:
+        return done
+    carried = spark.sparkContext.broadcast((basis, np.array([c[1] for c in chosen], np.int64)))
+
+    def left(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, gone = carried.value
+        for f in frames:
+            rows = Rows.of(f[~f["id"].isin(gone)])
+            n = len(rows.ids)
+            square = np.add.reduceat(rows.vals**2, rows.starts[:-1]) if n else np.zeros(0)
+            yield pd.DataFrame({"id": rows.ids, "residual": np.round(np.sqrt(np.maximum(square - rows.along(np.arange(n), q), 0)), 4)})
+
+    rest = base.mapInPandas(left, "id bigint, residual double").orderBy(F.desc("residual"), "id").limit(k - len(chosen))
+    place = F.row_number().over(Window.orderBy(F.desc("residual"), "id")) + len(chosen)
+    return done.unionByName(rest.select(place.cast("int").alias("place"), "id", F.lit(0.0).alias("tolerance"), "residual"))

@@ -64,7 +64,7 @@ def gene_set_content(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
 def p5_varied_sets(spark: SparkSession, sf: str) -> DataFrame:
     """500 gene sets that cover the collections and the content."""
     chosen = diverse_subset.select_varied(*gene_set_content(spark, sf), k=500)
-    return chosen.select("place", F.col("id").alias("gene_set_id"), "lap", F.round("residual", 4).alias("residual"))
+    return chosen.select("place", F.col("id").alias("gene_set_id"), "tolerance", F.round("residual", 4).alias("residual"))
 
 
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
