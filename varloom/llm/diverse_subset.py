@@ -18,7 +18,7 @@ and exact copies come last of all. The chosen rows and their directions are kept
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,15 +188,14 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
     chosen: list[tuple[int, int, float, float]] = []
     basis, dims, level = np.zeros((space.dims, 0)), space.dims, 0
 
-    while len(chosen) < k and level < len(tolerances):
-        tolerance = tolerances[level]
-        carried = spark.sparkContext.broadcast(basis.astype(np.float32))
+    def steps(carried, tolerance: float) -> tuple[Callable, Callable]:
+        """What a task and a node of the tree do in a round."""
 
-        def best(f: pd.DataFrame, q: np.ndarray, tolerance=tolerance) -> pd.DataFrame:
+        def best(f: pd.DataFrame, q: np.ndarray) -> pd.DataFrame:
             rows = Rows.of(f)
             return rows.frame(pivoted(rows, q, block, tolerance, dims)[0])
 
-        def nominate(frames: Iterator[pd.DataFrame], carried=carried, best=best) -> Iterator[pd.DataFrame]:
+        def nominate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
             q, held, n, kept = carried.value.astype(np.float64), [], 0, None
@@ -212,11 +211,16 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
                 kept.insert(0, "node", np.int32(TaskContext.get().partitionId()))
                 yield kept
 
-        def meet(f: pd.DataFrame, carried=carried, best=best) -> pd.DataFrame:
+        def meet(f: pd.DataFrame) -> pd.DataFrame:
             out = best(f.drop(columns="node"), carried.value.astype(np.float64))
             out.insert(0, "node", f["node"].iloc[0])
             return out
 
+        return nominate, meet
+
+    while len(chosen) < k and level < len(tolerances):
+        tolerance = tolerances[level]
+        nominate, meet = steps(spark.sparkContext.broadcast(basis.astype(np.float32)), tolerance)
         nominees = base.mapInPandas(nominate, schema)
         for _ in range(max(0, math.ceil(math.log2(max(tasks, 1))))):
             nominees = nominees.withColumn("node", F.expr("node div 2").cast("int")).groupBy("node").applyInPandas(meet, schema)
