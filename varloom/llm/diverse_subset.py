@@ -55,58 +55,60 @@ class Space:
 
 
 def features(records: DataFrame, items: DataFrame, space: Space = Space()) -> DataFrame:
-    """(id, slots, vals, own): sparse rows of length 1 at most, with at most dims entries; own is the length of the item part, or of the group's where there are no items.
+    """(id, items, group): hashed distinct items (twice the dimension, plus one for a minus sign) and the group's dimension.
 
     Up to group_dims groups have a dimension each; more are hashed into them.
 
-    records: (id, group); items: (id, item). Repeated items count once; null items and null
+    records: (id, group); items: (id, item). Repeated items count once, folded before the only shuffle of the items; null items and null
     ids are left out; a null group is a group of its own; a record without items has its
     group only. Of repeated ids one row stays.
     """
-    known = items.where("id is not null and item is not null").distinct()
-    slot = F.pmod(F.xxhash64("item"), F.lit(space.item_dims)).cast("int")
-    sign = F.when(F.xxhash64(F.lit(7), "item") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = known.groupBy("id", slot.alias("slot")).agg(F.sum(sign).alias("v"), F.count("*").alias("m"))
-    vectors = sums.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("e"), F.sum("m").alias("m"))
+    h = F.xxhash64("item")
+    code = (F.pmod(h, F.lit(space.item_dims)) * 2 + F.when(F.xxhash64(F.lit(7), "item") % 2 == 0, 0).otherwise(1)).cast("int")
+    # items are told apart by their hash
+    vectors = items.where("id is not null and item is not null").groupBy("id").agg(F.collect_set(F.struct(h.alias("h"), code.alias("code"))).alias("e"))
     one = records.where("id is not null").groupBy("id").agg(F.min(F.coalesce("group", F.lit("(none)"))).alias("group"))
     groups = sorted(r["group"] for r in one.select("group").distinct().limit(space.group_dims + 1).collect())
     if 0 < len(groups) <= space.group_dims:
         at = F.element_at(F.create_map(*(F.lit(x) for pair in zip(groups, range(len(groups)), strict=True) for x in pair)), F.col("group")) + space.item_dims
     else:
         at = F.pmod(F.xxhash64("group"), F.lit(space.group_dims)).cast("int") + space.item_dims
-    joined = one.join(vectors, "id", "left").withColumn("gslot", at)
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
-    length = F.least(F.lit(1.0), F.log1p("m") / math.log1p(space.full_size)) * math.sqrt(1 - space.group_share)
-    own = F.transform("e", lambda x: (x["v"] / F.greatest(norm, F.lit(1e-9)) * length).cast("float"))
-    full = F.col("e").isNotNull()
-    return joined.select(
-        "id",
-        F.when(full, F.concat(F.col("e.slot"), F.array("gslot"))).otherwise(F.array("gslot")).alias("slots"),
-        F.when(full, F.concat(own, F.array(F.lit(math.sqrt(space.group_share)).cast("float")))).otherwise(F.array(F.lit(math.sqrt(space.group_share)).cast("float"))).alias("vals"),
-        F.coalesce(F.when(norm > 0, length), F.lit(math.sqrt(space.group_share))).alias("own"),
-    )
+    return one.join(vectors, "id", "left").select("id", F.coalesce("e.code", F.array().cast("array<int>")).alias("items"), at.cast("int").alias("group"))
 
 
 @dataclass
 class Rows:
-    """Sparse rows: row i has the entries [starts[i], starts[i + 1]) of slots and vals."""
+    """Sparse feature rows: row i has the entries [starts[i], starts[i + 1]) of slots and vals; own is the length of its item part, or of the group's where there are no items."""
 
     ids: np.ndarray
     slots: np.ndarray
     vals: np.ndarray
     starts: np.ndarray
     own: np.ndarray
+    source: pd.DataFrame | None = None
 
     @classmethod
-    def of(cls, f: pd.DataFrame) -> Rows:
-        f = f.sort_values("id", kind="stable")
-        counts = np.fromiter((len(s) for s in f["slots"]), np.int64, len(f))
-        slots, vals = (np.concatenate(f[c].to_numpy()) if len(f) else np.zeros(0) for c in ("slots", "vals"))
-        return cls(f["id"].to_numpy(np.int64), slots.astype(np.int64), vals.astype(np.float64), np.concatenate(([0], np.cumsum(counts))), f["own"].to_numpy(np.float64))
+    def of(cls, f: pd.DataFrame, space: Space) -> Rows:
+        """Rows of (id, items, group), by id. The item part has its full length from full_size items on."""
+        f = f.sort_values("id", kind="stable", ignore_index=True)
+        n = len(f)
+        many = np.fromiter((len(x) for x in f["items"]), np.int64, n)
+        code = np.concatenate([*f["items"], np.zeros(0, np.int64)]).astype(np.int64)
+        # entries of the items, equal dimensions added up, and one of the group
+        cell, entry = np.unique(np.repeat(np.arange(n), many) * space.dims + code // 2, return_inverse=True)
+        val = np.bincount(entry, 1.0 - 2 * (code & 1), len(cell)) if len(cell) else np.zeros(0)
+        norm = np.sqrt(np.bincount(cell // space.dims, val**2, n))
+        length = np.minimum(1.0, np.log1p(many) / math.log1p(space.full_size)) * math.sqrt(1 - space.group_share)
+        scale = np.divide(length, norm, out=np.zeros(n), where=norm > 1e-9)
+        row = np.concatenate([cell // space.dims, np.arange(n)])
+        slot = np.concatenate([cell % space.dims, f["group"].to_numpy(np.int64)])
+        val = np.concatenate([val * scale[cell // space.dims], np.full(n, math.sqrt(space.group_share))])
+        order = np.argsort(row, kind="stable")
+        own = np.where(scale > 0, length, math.sqrt(space.group_share))
+        return cls(f["id"].to_numpy(np.int64), slot[order], val[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))), own, f)
 
     def frame(self, at: np.ndarray) -> pd.DataFrame:
-        cut = [slice(self.starts[i], self.starts[i + 1]) for i in at]
-        return pd.DataFrame({"id": self.ids[at], "slots": [self.slots[c].astype(np.int32) for c in cut], "vals": [self.vals[c].astype(np.float32) for c in cut], "own": self.own[at]})
+        return self.source.iloc[at].reset_index(drop=True)
 
     def dense(self, i: int, dims: int) -> np.ndarray:
         c = slice(self.starts[i], self.starts[i + 1])
@@ -184,7 +186,7 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
     spark = records.sparkSession
     base = cut(features(records, items, space))
     tasks = base.rdd.getNumPartitions()
-    schema = "node int, id bigint, slots array<int>, vals array<float>, own double"
+    schema = "node int, id bigint, items array<int>, group int"
     chosen: list[tuple[int, int, float, float]] = []
     basis, dims, level = np.zeros((space.dims, 0)), space.dims, 0
 
@@ -192,7 +194,7 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
         """What a task and a node of the tree do in a round."""
 
         def best(f: pd.DataFrame, q: np.ndarray) -> pd.DataFrame:
-            rows = Rows.of(f)
+            rows = Rows.of(f, space)
             return rows.frame(pivoted(rows, q, block, tolerance, dims)[0])
 
         def nominate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +230,7 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
         if not len(final):
             level += 1
             continue
-        rows = Rows.of(final)
+        rows = Rows.of(final, space)
         places, lengths, new = pivoted(rows, basis, min(block, k - len(chosen)), tolerance, dims)
         if not len(places):
             level += 1
@@ -242,7 +244,7 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
     def left(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, gone = carried.value
         for f in frames:
-            rows = Rows.of(f[~f["id"].isin(gone)])
+            rows = Rows.of(f[~f["id"].isin(gone)], space)
             n = len(rows.ids)
             square = np.add.reduceat(rows.vals**2, rows.starts[:-1]) if n else np.zeros(0)
             yield pd.DataFrame({"id": rows.ids, "residual": np.round(np.sqrt(np.maximum(square - rows.along(np.arange(n), q), 0)), 4)})
