@@ -62,6 +62,23 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, tokens bigint")).count() == 0
 
 
+def test_places_do_not_depend_on_the_layout(spark):
+    """Ranks go by doc_id, whatever tasks the rows lie in and however many a size spans."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([7, 7, 7, 30, rng.randint(1, 60), 130])) for i in range(3000)]
+    one = packing.pack(spark.createDataFrame(rows, "doc_id bigint, tokens bigint"), 64).orderBy("doc_id", "piece").collect()
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        other = packing.pack(spark.createDataFrame(rows, "doc_id bigint, tokens bigint").repartition(7), 64).orderBy("doc_id", "piece").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert one == other and len({(r["doc_id"], r["piece"]) for r in one}) == len(one)
+    # by hand: of equal sizes the smaller doc_id fills the earlier place
+    full = [r for r in one if r["size"] == 64]
+    assert [r["container"] for r in sorted(full, key=lambda r: (r["doc_id"], r["piece"]))] == list(range(len(full)))
+
+
 def test_token_counts(spark):
     d = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "a" * 50_000), (5, "Ünï <|endoftext|>")], "doc_id bigint, text string")
     n = {r["doc_id"]: r["tokens"] for r in packing.token_counts(d).collect()}

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with texts measured in tokens, by bulk-synchronous best fit.
 
-Documents are range-sorted by size: each gets its rank within its size, and with it its
+Documents are range-sorted by (size, doc_id): each gets its rank within its size, and with it its
 place in the order of all documents, by counts per task, so no size class is ever one
-task. Documents of one size are equal for the packing, and so are containers with the
+task and the result doesn't depend on how the rows lay. Documents of one size are equal for the packing, and so are containers with the
 same gap; both are held as runs (size or gap, how many). A superstep takes the largest
 unplaced size, sweeps the gaps upwards from the successor of that size, gives the
 documents to the gaps in rank order - so no two claim the same one - and updates the
@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
+import itertools
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from varloom.session import cut
 
@@ -33,6 +36,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CAPACITY = 2048
 
 
+@functools.lru_cache(2)
 def load_tokenizer(path: str = TOKENIZER):
     import tiktoken
 
@@ -42,10 +46,15 @@ def load_tokenizer(path: str = TOKENIZER):
 
 
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens); a null text has 0 tokens. The texts do not leave the tasks that read them."""
+    """(doc_id, tokens); a null text has 0 tokens. The texts do not leave the tasks that read them.
+
+    `tokenizer` is the vocabulary file's path as the driver sees it (or a URL Spark can fetch); it is shipped to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = load_tokenizer(tokenizer)
+        encoding = load_tokenizer(SparkFiles.get(name))
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "tokens": [len(encoding.encode_ordinary(t)) if t else 0 for t in f["text"]]})
 
@@ -116,45 +125,49 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[Placed], int]:
     return placed, opened
 
 
-def _ranked(sized: DataFrame) -> DataFrame:
-    """Adds rank (from 0) within `size`, by counts per (task, size). `sized` must be materialised, so that its partitions stay."""
-    rows = sized.withColumn("pid", F.spark_partition_id())
-    counts = rows.groupBy("pid", "size").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("size").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("pid", "size", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"))
-    own = F.row_number().over(Window.partitionBy("pid", "size").orderBy("doc_id", "piece")) - 1
-    return rows.withColumn("own", own).join(offsets, ["pid", "size"]).select("doc_id", "piece", "start", "size", (F.col("own") + F.col("offset")).alias("rank"))
-
-
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, size, container) of documents (doc_id, tokens): every piece in exactly one container.
 
     A document up to the capacity is one piece. A longer one is divided into pieces of the
     capacity and a last one; each full piece fills a container, the last is packed like
     any other. Documents of 0 tokens take no room and get container null. Repeated rows are items of
-    their own. At most `capacity` size classes reach the driver.
+    their own. The driver holds a row per size class and task boundary, at most capacity + tasks.
     """
     cap = F.lit(capacity)
     pieces = F.greatest(F.ceil(F.col("tokens") / cap), F.lit(1)).cast("int")
     items = sizes.where(F.col("tokens").isNotNull()).select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     start = F.col("piece").cast("bigint") * cap
     items = cut(items.select("doc_id", "piece", start.alias("start"), F.least(cap, F.col("tokens") - start).cast("int").alias("size")))
-    counts = {r["size"]: r["m"] for r in items.where("size > 0").groupBy("size").agg(F.count("*").alias("m")).collect()}
+    order = ["size", "doc_id", "piece"]
+    ranged = cut(items.where("size > 0").repartitionByRange(*order).sortWithinPartitions(*order))
+    # in range order a task has few sizes, and a size that spans tasks is continued where the task before left it
+    found = sorted((r["size"], r["task"], r["m"]) for r in ranged.groupBy(F.spark_partition_id().alias("task"), "size").agg(F.count("*").alias("m")).collect())
+    counts: dict[int, int] = {}
+    first: dict[int, list[tuple[int, int]]] = {}  # task -> (size, place of its first document of that size)
+    for place, (size, task, m) in zip(itertools.accumulate((m for *_, m in found), initial=0), found):
+        counts[size] = counts.get(size, 0) + m
+        first.setdefault(task, []).append((size, place))
     placed, _ = best_fit(counts, capacity)
     by_size = sorted(counts)
-    base = dict(zip(by_size, np.concatenate(([0], np.cumsum([counts[s] for s in by_size])[:-1])).tolist() if by_size else [], strict=True))
-    runs = sorted((base[p.size] + p.first, p.container, p.each) for p in placed)
-    plan = {"size": np.array(by_size, np.int64), "base": np.array([base[s] for s in by_size], np.int64), "runs": np.array(runs, np.int64).reshape(-1, 3)}
-    carried = items.sparkSession.sparkContext.broadcast(plan)
+    base = dict(zip(by_size, itertools.accumulate((counts[s] for s in by_size), initial=0)))
+    runs = np.array(sorted((base[p.size] + p.first, p.container, p.each) for p in placed), np.int64).reshape(-1, 3)
+    carried = items.sparkSession.sparkContext.broadcast(({t: np.array(v, np.int64) for t, v in first.items()}, runs))
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, offset, runs = (carried.value[k] for k in ("size", "base", "runs"))
+        from pyspark import TaskContext
+
+        starts, runs = carried.value
+        place = None
         for f in frames:
-            place = offset[np.searchsorted(size, f["size"].to_numpy())] + f["rank"].to_numpy()
-            run = runs[np.searchsorted(runs[:, 0], place, side="right") - 1]
-            f["container"] = run[:, 1] + (place - run[:, 0]) // run[:, 2]
+            if not len(f):
+                continue
+            if place is None:  # rows lie in the order of places, and a task's places follow each other
+                place = int(starts[TaskContext.get().partitionId()][0, 1])
+            at = place + np.arange(len(f))
+            place += len(f)
+            run = runs[np.searchsorted(runs[:, 0], at, side="right") - 1]
+            f["container"] = run[:, 1] + (at - run[:, 0]) // run[:, 2]
             yield f[["doc_id", "piece", "start", "size", "container"]]
 
-    schema = "doc_id bigint, piece int, start bigint, size int, container bigint"
-    full = _ranked(items.where("size > 0")).mapInPandas(apply, schema)
+    full = ranged.mapInPandas(apply, "doc_id bigint, piece int, start bigint, size int, container bigint")
     return full.unionByName(items.where("size = 0").select("doc_id", "piece", "start", "size", F.lit(None).cast("bigint").alias("container")))
