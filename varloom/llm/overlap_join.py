@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from varloom.session import broadcast_if_small, cut
 
 SIGNATURE_WORDS = 4
+#: Sets that hold a member beyond which its inverted list is split, each part meeting every probe.
+LIST_ROWS = 20_000
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -39,13 +41,18 @@ def distinct_members(df: DataFrame, set_col: str, item_col: str) -> DataFrame:
     return df.select(F.col(set_col).alias("set_id"), F.col(item_col).alias("item")).where(F.col("set_id").isNotNull() & F.col("item").isNotNull()).distinct()
 
 
-def ordered_sets(members: DataFrame, min_size: int) -> DataFrame:
-    """One row per set: set_id, n, toks (members from rare to common). A set holds at most the vocabulary."""
+SIGNATURE = [f"s{w}" for w in range(SIGNATURE_WORDS)]
+
+
+def ordered_sets(members: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
+    """(one row per set: set_id, n, toks (members from rare to common), signature words; frequency: item, freq). A set holds at most the vocabulary."""
     members = cut(members)
-    frequency = members.groupBy("item").agg(F.count("*").alias("freq"))
-    rows = members.join(broadcast_if_small(frequency), "item")
-    sets = rows.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("freq", "item"))).alias("m"))
-    return sets.select("set_id", F.size("m").alias("n"), F.col("m.item").alias("toks")).where(F.col("n") >= min_size)
+    frequency = cut(members.groupBy("item").agg(F.count("*").alias("freq")))
+    bit = F.pmod(F.xxhash64("item"), F.lit(64 * SIGNATURE_WORDS)).cast("int")
+    rows = members.withColumn("bit", bit).join(broadcast_if_small(frequency), "item")
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.expr("shiftleft(1L, bit % 64)"))), F.lit(0)).alias(c) for w, c in enumerate(SIGNATURE)]
+    sets = rows.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("freq", "item"))).alias("m"), *words)
+    return sets.select("set_id", F.size("m").alias("n"), F.col("m.item").alias("toks"), *SIGNATURE).where(F.col("n") >= min_size), frequency
 
 
 def fold_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +61,7 @@ def fold_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = keyed.groupBy("n", "h1", "h2").agg(F.min("set_id").alias("rep"))
     member = keyed.select("set_id", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select("set_id", "rep")
     member = cut(member)
-    reps = keyed.join(member.where("set_id = rep").select("set_id"), "set_id", "left_semi").select("set_id", "n", "toks")
+    reps = keyed.join(member.where("set_id = rep").select("set_id"), "set_id", "left_semi").select("set_id", "n", "toks", *SIGNATURE)
     return cut(reps), member
 
 
@@ -84,23 +91,30 @@ def small_pairs(reps: DataFrame, num: int, den: int, min_size: int, small_max: i
     return both.select("id1", "id2", F.size("common").alias("overlap"), "n1", "n2")
 
 
-def large_pairs(reps: DataFrame, num: int, den: int, small_max: int) -> DataFrame:
-    """Pairs with at least one large set, by scanning inverted lists of rare members."""
+def large_pairs(reps: DataFrame, num: int, den: int, small_max: int, frequency: DataFrame) -> DataFrame:
+    """Pairs with at least one large set, by scanning inverted lists of rare members. A list that could be longer than LIST_ROWS is split by set."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))).cast("int")
-    words = [F.expr(f"aggregate(toks, 0L, (s, x) -> s | if(pmod(xxhash64(x), {64 * SIGNATURE_WORDS}) div 64 = {w}, shiftleft(1L, cast(pmod(xxhash64(x), 64) as int)), 0L))").alias(f"s{w}") for w in range(SIGNATURE_WORDS)]
-    base = reps.select("set_id", "n", "toks", band.alias("band"), *words)
+    sig = SIGNATURE
+    base = reps.select("set_id", "n", "toks", band.alias("band"), *sig)
     probe_len = F.col("n") - F.ceil(F.col("n") * num / F.lit(den) - F.lit(1e-9)).cast("int") + 1
     list_len = F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den) - F.lit(1e-9)).cast("int") + 1
-    sig = [f"s{w}" for w in range(SIGNATURE_WORDS)]
     probe = base.where(F.col("n") > small_max).select("set_id", "n", *sig, F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.slice("toks", F.lit(1), probe_len).alias("pre"))
     probe = probe.select("set_id", "n", *sig, "band", F.posexplode("pre").alias("p", "tok"))
     lists = base.select("set_id", "n", *sig, "band", F.posexplode(F.slice("toks", F.lit(1), list_len)).alias("p", "tok"))
+    long = cut(frequency.where(F.col("freq") > LIST_ROWS).select(F.col("item").alias("tok"), F.ceil(F.col("freq") / LIST_ROWS).cast("int").alias("ways")))
+    count = long.count()
+    if count:
+        ways = broadcast_if_small(long, count)
+        probe = probe.join(ways, "tok", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+        lists = lists.join(ways, "tok", "left").withColumn("part", F.pmod(F.xxhash64("set_id"), F.coalesce("ways", F.lit(1))).cast("int")).drop("ways")
+    else:
+        probe, lists = (d.withColumn("part", F.lit(0)) for d in (probe, lists))
     y, x = probe.alias("y"), lists.alias("x")
     ny, nx = F.col("y.n"), F.col("x.n")
     need = F.ceil(F.lit(num) * (ny + nx) / F.lit(num + den) - F.lit(1e-9)).cast("int")
     apart = sum((F.bit_count(F.col(f"y.s{w}").bitwiseXOR(F.col(f"x.s{w}"))) for w in range(SIGNATURE_WORDS)), F.lit(0))
     condition = (
-        (F.col("y.tok") == F.col("x.tok")) & (F.col("y.band") == F.col("x.band"))
+        (F.col("y.tok") == F.col("x.tok")) & (F.col("y.part") == F.col("x.part")) & (F.col("y.band") == F.col("x.band"))
         & ((nx < ny) | ((nx == ny) & (F.col("x.set_id") < F.col("y.set_id"))))
         & (nx * den >= ny * num)
         & (F.least(ny - F.col("y.p"), nx - F.col("x.p")) >= need)
@@ -119,8 +133,9 @@ def similar_classes(df: DataFrame, set_col: str, item_col: str, num: int = 7, de
     left out, repeated rows count once, sets under min_size members take no part, ties in
     rarity are ordered by member. Extra columns are ignored; an empty table gives no pairs.
     """
-    reps, member = fold_copies(ordered_sets(distinct_members(df, set_col, item_col), min_size))
-    both = small_pairs(reps, num, den, min_size, small_max).unionByName(large_pairs(reps, num, den, small_max))
+    sets, frequency = ordered_sets(distinct_members(df, set_col, item_col), min_size)
+    reps, member = fold_copies(sets)
+    both = small_pairs(reps, num, den, min_size, small_max).unionByName(large_pairs(reps, num, den, small_max, frequency))
     union = F.col("n1") + F.col("n2") - F.col("overlap")
     pairs = both.where(F.col("overlap") * den >= union * num).withColumn("similarity", F.col("overlap") / union)
     return pairs, member

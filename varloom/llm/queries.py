@@ -28,6 +28,12 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return member.join(links, "rep", "left").select(F.col("set_id").alias("gene_set_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p1_class_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar pairs of class representatives."""
+    pairs, _ = overlap_join.similar_classes(table(spark, sf, "gene_set_gene_symbol"), "gene_set_id", "gene_symbol_id")
+    return pairs.select(F.col("id1").alias("class_id_1"), F.col("id2").alias("class_id_2"), "overlap", F.round("similarity", 6).alias("similarity"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return soft_linkage.link(table(spark, sf, "regenie_variants"), table(spark, sf, "dummy_processed_gwas")).select("snpid", "regenie_row")
 
@@ -102,5 +108,5 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = [p1_found, p1_classes, p2_found, p2_links, p4_percentiles, p4_day_counts, p4_merged_days, p5_varied_sets, p6_containers, p6_fill, p7_found, p7_matches, p7_clean_documents, p8_found, p8_restored]
+    names = [p1_found, p1_classes, p1_class_pairs, p2_found, p2_links, p4_percentiles, p4_day_counts, p4_merged_days, p5_varied_sets, p6_containers, p6_fill, p7_found, p7_matches, p7_clean_documents, p8_found, p8_restored]
     return {f.__name__: f for f in names}

@@ -10,6 +10,15 @@ o AS (SELECT a.s AS s1, b.s AS s2, any_value(a.n) AS n1, any_value(b.n) AS n2, c
       FROM k a JOIN k b ON a.g = b.g AND a.s < b.s AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) GROUP BY a.s, b.s)
 SELECT s1 AS gene_set_id_1, s2 AS gene_set_id_2 FROM o WHERE 10 * c >= 7 * (n1 + n2 - c)"""
 
+_CLASSES = f"""m AS ({_MEMBERS}), z AS (SELECT s, count(*) AS n, list(g ORDER BY g) AS l FROM m GROUP BY s HAVING count(*) >= 5),
+c AS (SELECT s, n, min(s) OVER (PARTITION BY l) AS rep FROM z), k AS (SELECT m.s, m.g, c.n FROM m JOIN c USING (s) WHERE c.s = c.rep),
+o AS (SELECT a.s AS s1, b.s AS s2, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS c
+      FROM k a JOIN k b ON a.g = b.g AND a.s < b.s AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) GROUP BY a.s, b.s),
+p AS (SELECT s1, s2, c, round(c / (n1 + n2 - c), 6) AS similarity FROM o WHERE 10 * c >= 7 * (n1 + n2 - c))"""
+P1_CLASS_PAIRS = f"WITH {_CLASSES} SELECT s1 AS class_id_1, s2 AS class_id_2, c AS overlap, similarity FROM p"
+P1_CLASSES = f"""WITH {_CLASSES}, e AS (SELECT rep, count(*) AS links FROM (SELECT s1 AS rep FROM p UNION ALL SELECT s2 FROM p) GROUP BY rep)
+SELECT s AS gene_set_id, c.rep AS class_id, coalesce(links, 0) AS links FROM c LEFT JOIN e USING (rep)"""
+
 _VALUES = " UNION ALL ".join(
     f"SELECT '{s}' AS scope, {k} AS group_key, '{m}' AS metric, {m} AS v FROM dummy_processed_gwas WHERE {m} IS NOT NULL AND NOT isnan({m})"
     for s, k in (("study_id", "coalesce(study_id, '(none)')"), ("chr", "coalesce(CAST(chr AS VARCHAR), '(none)')"), ("all", "''"))
@@ -65,4 +74,4 @@ SELECT snpid, regenie_row FROM e WHERE gap IS NULL OR gap < 0.1 QUALIFY row_numb
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_percentiles": P4_PERCENTILES, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p1_class_pairs": P1_CLASS_PAIRS, "p1_classes": P1_CLASSES, "p2_found": P2_FOUND, "p4_percentiles": P4_PERCENTILES, "p7_found": P7_FOUND}
