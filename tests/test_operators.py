@@ -64,8 +64,10 @@ def test_filters_null_and_nan(spark):
     assert got(d.transform(flt.drop_nan("v")).select("i"), "i") == [(1,), (4,)]
     assert got(d.transform(flt.any_at_least(0.9, ["i"])).select("i"), "i") == [(4,)]
     assert got(d.where("i <> 2").transform(flt.frequency_filter("v", 0.01, validate=True)).select("i"), "i") == [(1,)]
-    with pytest.raises(ValueError):
-        spark.createDataFrame([(50.0,)], "v double").transform(flt.frequency_filter("v", 0.01, validate=True))
+    with pytest.raises(Exception, match="not within 0..1"):
+        spark.createDataFrame([(50.0,)], "v double").transform(flt.frequency_filter("v", 0.01)).collect()
+    s = spark.createDataFrame([(1960099,), (1960089,), (1960079,), (1960088,), (1960098,), (1960097,), (None,)], "STATUS int")
+    assert sorted(r[0] for r in s.transform(flt.status_digits()).collect()) == [1960079, 1960099]
     assert d.transform(flt.by_values("i", list(range(2, 5000)))).count() == 3
     assert d.transform(flt.by_values("i", [])).count() == 0
     z = spark.createDataFrame([(1.0, 0.0), (1.0, 0.5), (NAN, 0.5), (1.0, float("inf"))], "BETA double, SE double")
@@ -172,6 +174,11 @@ def test_harmonise(spark):
         har.via_rsid(g, r, alleles="raise")
     with pytest.raises(ValueError):
         har.check_unique(g.union(g), ["rsID"])
+    for call in (lambda: har.via_rsid(g.union(g), r), lambda: har.via_rsid(g, r.union(r)), lambda: har.via_alleles(g.union(g), r), lambda: har.via_alleles(g, r.union(r))):
+        with pytest.raises(Exception, match="repeat"):
+            call().collect()
+    both = r.union(r.select("rsID", "CHR", "POS", F.col("NEA").alias("EA"), F.col("EA").alias("NEA")))
+    assert har.via_alleles(g, both, palindromes="keep").count() == 6
     f = spark.createDataFrame([("A", "C", 0.1, 2.0, 0.3)], "EA string, NEA string, BETA double, OR double, EAF double").transform(har.flip()).first()
     assert tuple(f) == ("C", "A", -0.1, 0.5, 0.7)
     assert [r[0] for r in spark.createDataFrame([("AC", "GT"), ("A", "T"), ("A", "C")], "EA string, NEA string").select(har.is_palindromic()).collect()] == [True, True, False]
@@ -185,8 +192,15 @@ def test_meta_analysis(spark):
     assert m[0]["BETA"] == pytest.approx(0.3) and m[0]["SE"] == pytest.approx(0.1 / math.sqrt(2))
     with pytest.raises(ValueError):
         har.meta_analysis([a])
+    with pytest.raises(Exception, match="above 0"):
+        har.meta_analysis([a, b.withColumn("SE", F.lit(0.0))]).collect()
+    with pytest.raises(Exception, match="twice"):
+        har.meta_analysis([a.union(a), b]).collect()
+    with pytest.raises(Exception, match="twice"):
+        har.meta_analysis([a, b.union(b.select("CHR", "POS", F.col("NEA").alias("EA"), F.col("EA").alias("NEA"), "BETA", "SE"))]).collect()
+    assert har.meta_analysis([a, b], effective_n=[1000.0, 250.5]).first()["N_EFF"] == 1250.5
     with pytest.raises(ValueError):
-        har.meta_analysis([a, b.withColumn("SE", F.lit(0.0))], validate=True)
+        har.meta_analysis([a, b], effective_n=[1.0])
 
 
 def test_index_and_alignment(spark):

@@ -76,7 +76,7 @@ def check_not_sparse(df: DataFrame, cell: str, gene: str) -> None:
         raise ValueError("counts are sparse; every cell needs a row for every gene")
 
 
-def specificity_stability(cell_type: str, count: str, gene: str, cell: str, min_cells: int = 0, epsilon: float = 1e-4, validate: bool = False) -> Pipe:
+def specificity_stability(cell_type: str, count: str, gene: str, cell: str, min_cells: int = 0, epsilon: float = 1e-4, validate: bool = True) -> Pipe:
     """(gene, type, stability difference): 1 - (rank of zero share + rank of variation) / 2n, less its mean over types."""
 
     def run(df: DataFrame) -> DataFrame:

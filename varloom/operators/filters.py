@@ -115,16 +115,16 @@ def within(interval: Interval, chrom: str = "CHR", pos: str = "POS") -> Pipe:
     return lambda df: df.where(interval.holds(F.col(chrom), F.col(pos)))
 
 
-def frequency_filter(column: str, least: float, validate: bool = False) -> Pipe:
-    """min(f, 1 - f) >= least. validate: raises ValueError if a frequency is outside 0..1 (one aggregate)."""
+def frequency_filter(column: str, least: float, validate: bool = True) -> Pipe:
+    """min(f, 1 - f) >= least; null and NaN do not pass. validate: a frequency outside 0..1 raises when the plan runs; without it the filter reaches the scan."""
 
     def run(df: DataFrame) -> DataFrame:
         f = F.col(column)
+        ok = (F.least(f, 1 - f) >= least) & ~F.isnan(f)
         if validate:
-            low, high = df.agg(F.min(f), F.max(F.when(~F.isnan(f), f))).first()
-            if low is not None and (low < 0 or high > 1):
-                raise ValueError(f"{column} runs from {low} to {high}, not within 0..1")
-        return df.where((F.least(f, 1 - f) >= least) & ~F.isnan(f))
+            outside = ~F.isnan(f) & ((f < 0) | (f > 1))
+            ok = F.when(outside, F.raise_error(F.lit(f"{column} is not within 0..1")).cast("boolean")).otherwise(ok)
+        return df.where(ok)
 
     return run
 
@@ -144,8 +144,8 @@ def drop_degenerate_z(z: str = "Z", beta: str = "BETA", se: str = "SE") -> Pipe:
 
 
 def status_digits(column: str = "STATUS", drop: dict[int, str] | None = None) -> Pipe:
-    """Drops rows whose status code has one of the given digits at a place (1-based)."""
-    drop = drop or {6: "8", 7: "789"}
+    """Drops rows whose status code has one of the given digits at a place (1-based); by default 8 at the 6th and 7 or 8 at the 7th. A null code does not pass."""
+    drop = drop or {6: "8", 7: "78"}
 
     def run(df: DataFrame) -> DataFrame:
         bad = [F.instr(F.lit(digits), F.substring(F.col(column).cast("string"), place, 1)) > 0 for place, digits in drop.items()]

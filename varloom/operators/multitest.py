@@ -1,8 +1,10 @@
 """Multiple-testing correction on tables of any size, without a one-task sort.
 
-P-values are range-sorted; ranks are counted within a partition and shifted by the sizes of
+P-values are counted first, so that ties, however many, are one row. The distinct values are
+range-sorted; ranks are summed within a partition and shifted by the sums of
 the partitions before, and the step-up minimum runs within a partition, bounded by the
-smallest value of the partitions behind. Only one row per partition meets in one task.
+smallest value of the partitions behind. Only one row per partition meets in one task; the
+corrected values are joined back to the rows.
 """
 
 from __future__ import annotations
@@ -37,21 +39,24 @@ def corrected_p(p: str, method: str = "fdr_bh", name: str = "p_corrected", nan_a
         if method == "bonferroni":
             n = d.where("_p is not null").count()
             return d.withColumn(name, F.least(F.col("_p") * n, F.lit(1.0))).drop("_p")
-        known = cut(d.where("_p is not null").repartitionByRange(F.col("_p")).sortWithinPartitions("_p").withColumn("_part", F.spark_partition_id()))
-        sizes = known.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
+        counts = d.where("_p is not null").groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        known = cut(counts.repartitionByRange(F.col("_p")).withColumn("_part", F.spark_partition_id()))
+        sizes = known.groupBy("_part").agg(F.sum("_n").alias("_m"))
         total = sum(r["_m"] for r in sizes.collect())  # one row per partition
         c = harmonic(total) if method == "fdr_by" else 1.0
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
-        w = Window.partitionBy("_part").orderBy("_p")
-        ranked = known.join(offsets, "_part").withColumn("_rank", F.row_number().over(w) + F.col("_o"))
+        offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o")))  # one row per partition
+        w = Window.partitionBy("_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # tied values have the largest rank of theirs
+        ranked = known.join(offsets, "_part").withColumn("_rank", F.sum("_n").over(w) + F.col("_o"))
         raw = ranked.withColumn("_raw", F.col("_p") * total * c / F.col("_rank"))
         tails = raw.groupBy("_part").agg(F.min("_raw").alias("_min"))
         after = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        bound = tails.select("_part", F.coalesce(F.min("_min").over(after), F.lit(float("inf"))).alias("_bound"))
-        back = Window.partitionBy("_part").orderBy(F.col("_p").desc(), F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        done = raw.withColumn("_step", F.min("_raw").over(back)).join(bound, "_part")
-        done = done.withColumn(name, F.least(F.col("_step"), F.col("_bound"), F.lit(1.0)))
+        bound = F.broadcast(tails.select("_part", F.coalesce(F.min("_min").over(after), F.lit(float("inf"))).alias("_bound")))
+        back = Window.partitionBy("_part").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        steps = raw.withColumn("_step", F.min("_raw").over(back)).join(bound, "_part")
+        steps = steps.select("_p", F.least(F.col("_step"), F.col("_bound"), F.lit(1.0)).alias("_c"))
+        done = d.where("_p is not null").join(steps, "_p").withColumn(name, F.col("_c"))
         rest = d.where("_p is null").withColumn(name, F.lit(None).cast("double"))
         keep = [*df.columns, name]
         return done.select(*keep).unionByName(rest.select(*keep))
