@@ -23,6 +23,13 @@ def test_text(spark, tmp_path):
     spec = src.ReadSpec(src.TextFormat("\t", ("NA",), {"x": "int"}, skip_rows=2))
     d = src.scan(spark, str(p), spec)
     assert d.dtypes == [("x", "int"), ("y", "string")] and [tuple(r) for r in d.collect()] == [(1, None), (2, "b")]
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        (tmp_path / f"many/{k}.tsv").write_text(f"junk{k}\n#c\nx\ty\n" + "".join(f"{10 * k + i}\tv\n" for i in range(5)))
+    many = src.scan(spark, str(tmp_path / "many"), spec)
+    assert sorted(r["x"] for r in many.collect()) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14, 20, 21, 22, 23, 24]
+    plain = src.scan(spark, str(tmp_path / "many/0.tsv"), src.ReadSpec(src.TextFormat("\t", skip_rows=2)))
+    assert plain.dtypes == [("x", "int"), ("y", "string")] and plain.count() == 5
     src.convert(spark, str(p), spec, str(tmp_path / "o"), ["x"], {"x": "bigint"})
     assert src.scan(spark, str(tmp_path / "o"), src.ReadSpec(src.ParquetFormat())).dtypes == [("x", "bigint")]
     src.write(d, str(tmp_path / "c"), src.TextOut("\t", one_file=True))
@@ -70,6 +77,8 @@ def test_sqlite_and_markdown(spark, tmp_path):
     con.close()
     d = src.scan_sqlite(spark, str(db), "select id, group_concat(s) as l from (select * from g order by s) group by id order by id")
     assert [tuple(r) for r in d.collect()] == [(1, "a,b"), (2, "c")]
+    rows = src.scan_sqlite(spark, str(db), "select id, s from g", key="id", parts=2)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "a"), (1, "b"), (2, "c")]
     assert src.markdown(d.where("id = 2")) == "| id | l |\n| --- | --- |\n| 2 | c |\n"
     with pytest.raises(ValueError):
         src.markdown(d, most=1)

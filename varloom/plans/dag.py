@@ -134,9 +134,12 @@ class Catalog:
                     work = self.folder / f".{n}.new"
                     write(df, str(work), d.out, "overwrite")
                     record.unlink(missing_ok=True)
+                    old = self.folder / f".{n}.old"
+                    shutil.rmtree(old, ignore_errors=True)
                     if path.exists():
-                        shutil.rmtree(path)
+                        os.replace(path, old)
                     os.replace(work, path)
+                    shutil.rmtree(old, ignore_errors=True)  # only once the new one is in place
                     record.write_text(prints[n])
                     self.built.append(n)
                 df = spark.read.parquet(str(path))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leaves a configured folder alone; only where none is set (tests) a temporary one is made."""
+    """Leaves a configured folder alone; only where none is set a temporary one is made, in local mode. A cluster without one raises."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="varloom-checkpoint-"))
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for a table that is written to be read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/varloom-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared checkpoint folder, so a lost executor loses nothing and lineage stays short."""
     ensure_checkpoint_dir(df.sparkSession)

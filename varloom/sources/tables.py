@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 
 from varloom.operators.pipe import Pipe, identity
+from varloom.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
 class TextFormat:
-    """Delimited text. skip_rows counts physical lines of one file before the header; types override inference."""
+    """Delimited text. skip_rows counts physical lines before every file's header; types override inference, which looks at the head only; a later value that does not fit raises."""
 
     separator: str = ","
     null_values: Sequence[str] = ("",)
@@ -60,23 +61,59 @@ def scan(spark: SparkSession, path: str | Sequence[str], spec: ReadSpec) -> Data
         return spark.read.parquet(*paths)
     if isinstance(f, WhitespaceFormat):
         return scan_whitespace(spark, paths, f)
-    reader = spark.read.option("sep", f.separator).option("mode", "FAILFAST").option("inferSchema", not f.types).option("nullValue", f.null_values[0] if f.null_values else "")
-    if f.comment:
-        reader = reader.option("comment", f.comment)
+    options = {"sep": f.separator, "mode": "FAILFAST", "nullValue": f.null_values[0] if f.null_values else ""} | ({"comment": f.comment} if f.comment else {})
+    names, schema = _head_schema(spark, paths, f, options)
     if f.skip_rows:
-        if len(paths) > 1:
-            raise ValueError("skip_rows is for one file")
-        kept = spark.read.text(paths).rdd.map(lambda r: r["value"]).zipWithIndex().filter(lambda x: x[1] >= f.skip_rows).map(lambda x: x[0])
-        df = reader.option("header", f.has_header).csv(kept)
+        # a file's first rows are in the split that begins at 0 and are dropped there, batch by batch
+        lines = spark.read.text(paths).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+        kept = lines.mapInArrow(_without_first(f.skip_rows + f.has_header), "value string").where(F.trim("value") != "")
+        if f.comment:
+            kept = kept.where(~F.startswith("value", F.lit(f.comment)))
+        df = kept.select(F.from_csv("value", schema, options).alias("r")).select("r.*")
     else:
-        df = reader.option("header", f.has_header).csv(paths)
-    if f.column_names:
-        df = df.toDF(*f.column_names)
+        df = spark.read.options(**options).option("header", f.has_header).option("enforceSchema", False if f.has_header and not f.column_names else True).schema(schema).csv(paths)
+    df = df.toDF(*names)
     for v in f.null_values[1:]:
         df = df.select(*(_nulls(c, [v]).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
     return df.withColumns({c: F.col(c).cast(t) for c, t in f.types.items() if c in df.columns}) if f.types else df
 
 
+#: Lines at the head of the first file from which names and types are taken.
+HEAD_LINES = 1000
+
+
+def _head_schema(spark: SparkSession, paths: Sequence[str], f: TextFormat, options: dict[str, str]) -> tuple[list[str], str]:
+    """(column names, DDL) from the first HEAD_LINES lines; with given types all other columns are strings. The tables themselves are not read twice."""
+    lines = [r[0] for r in spark.read.text(sorted(paths)[0] if len(paths) > 1 else paths[0]).limit(f.skip_rows + HEAD_LINES).collect()][f.skip_rows :]
+    reader = spark.read.options(**options).option("header", f.has_header).option("inferSchema", not f.types)
+    head = reader.csv(spark.sparkContext.parallelize(lines, 1))
+    names = list(f.column_names) if f.column_names else head.columns
+    return names, ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in zip(head.columns, (t for _, t in head.dtypes), strict=True))
+
+
+def _without_first(n: int):
+    """Drops the first n lines of every file from batches of (value, file, start)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen: dict[str, int] = {}
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            at = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False) == 0)
+            codes = b.column(1).dictionary_encode()
+            numbers = codes.indices.to_numpy(zero_copy_only=False)[at]
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                rows = at[numbers == k]
+                before = seen.get(name, 0)
+                keep[rows[: max(0, n - before)]] = False
+                seen[name] = before + len(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep))], ["value"])
+
+    return run
+
+
 def scan_whitespace(spark: SparkSession, paths: Sequence[str], f: WhitespaceFormat) -> DataFrame:
     """White-space separated lines, split by tasks. Without given names the first line that is no comment names the columns.
 
@@ -185,14 +222,35 @@ def sql_over(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> D
     return spark.sql(query)
 
 
-def scan_sqlite(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """A SELECT over an SQLite file; the file is read where the driver runs, as it is one machine's file."""
+def scan_sqlite(spark: SparkSession, path: str, query: str, key: str | None = None, parts: int = 8, schema: str | None = None) -> DataFrame:
+    """A SELECT over an SQLite file, read by tasks: the file is shipped to the executors, and an integer column `key` of the
+    result splits it into `parts` ranges (rows without a key go with the first). Types are those of the first 1,000 rows if no schema is given.
+    """
+    import os
     import sqlite3
 
     import pandas as pd
+    from pyspark import SparkFiles
 
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-        return spark.createDataFrame(pd.read_sql_query(query, con))
+        kind = schema or spark.createDataFrame(pd.read_sql_query(f"SELECT * FROM ({query}) LIMIT 1000", con)).schema
+        low, high = con.execute(f'SELECT min("{key}"), max("{key}") FROM ({query})').fetchone() if key else (None, None)
+    if low is None:
+        ranges = [(None, None)]
+    else:
+        step = max(1, -(-(high - low + 1) // parts))
+        ranges = [(a, a + step) for a in range(low, high + 1, step)]
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def read(frames):
+        for f in frames:
+            for a, b in zip(f["a"], f["b"], strict=True):
+                where = "" if pd.isna(a) else f' WHERE ("{key}" >= {int(a)} AND "{key}" < {int(b)})' + (f' OR "{key}" IS NULL' if a == low else "")
+                with sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True) as con:
+                    yield from pd.read_sql_query(f"SELECT * FROM ({query}){where}", con, chunksize=50_000)
+
+    return spark.createDataFrame(ranges, "a bigint, b bigint").repartition(len(ranges), "a").mapInPandas(read, kind)
 
 
 def ld_scores(spark: SparkSession, folder: str, glob: str = "*.l2.ldscore.gz", sibling: str = ".l2.M_5_50") -> DataFrame:
@@ -200,7 +258,7 @@ def ld_scores(spark: SparkSession, folder: str, glob: str = "*.l2.ldscore.gz", s
     base = F.regexp_extract(F.input_file_name(), r"([^/]+?)\.l2\.", 1)
     df = spark.read.option("sep", "\t").option("header", True).schema("CHR int, SNP string, BP bigint, L2 double").csv(f"{folder}/{glob}").withColumn("_f", base)
     m = spark.read.text(f"{folder}/*{sibling}", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.l2\.", 1).alias("_f"), sum_of_numbers("value").alias("M_5_50"))
-    j = df.join(F.broadcast(m), "_f", "left")  # one row per chromosome file
+    j = df.join(broadcast_if_small(m), "_f", "left")
     checked = F.when(F.col("M_5_50").isNull(), F.raise_error(F.concat(F.lit("no sibling file for "), F.col("_f"))).cast("double")).otherwise(F.col("M_5_50"))
     return j.withColumn("M_5_50", checked).drop("_f").orderBy("CHR", "BP")
 
@@ -234,30 +292,35 @@ def membership(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_sample_size(spark: SparkSession, path: str, column: str = "N") -> DataFrame:
-    """(path, n) of tar archives of gzipped white-space tables, from the first member's first row. Only the head of each file is unpacked, in the tasks."""
+    """(path, n) of tar archives of gzipped white-space tables, from the first member's first row; n is null where there is no such member.
+
+    The listing names the files only; a task opens each by its path (any file system Arrow knows) and reads as far as
+    the first member's head, some 64 KB, whatever the archive's size.
+    """
 
     def heads(frames):
-        import io
         import tarfile
         import zlib
 
         import pandas as pd
+        from pyarrow import fs
 
         for f in frames:
             out = []
-            for p, content in zip(f["path"], f["content"], strict=True):
+            for p in f["path"]:
                 n = None
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|") as tar:
+                where, name = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file:///") else p)
+                with where.open_input_file(name) as raw, tarfile.open(fileobj=raw, mode="r|", bufsize=16_384) as tar:
                     for member in tar:
                         if member.isfile() and member.name.endswith(".gz"):
-                            text = zlib.decompressobj(31).decompress(tar.extractfile(member).read(65536)).decode()
+                            text = zlib.decompressobj(31).decompress(tar.extractfile(member).read(32_768)).decode(errors="replace")
                             head, row = (x.split() for x in text.split("\n")[:2])
                             n = int(float(row[head.index(column)]))
                             break
                 out.append((p, n))
-            yield pd.DataFrame(out, columns=["path", "n"])
+            yield pd.DataFrame({"path": pd.Series([x[0] for x in out], dtype=object), "n": pd.Series([x[1] for x in out], dtype="Int64")})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(heads, "path string, n bigint")
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(heads, "path string, n bigint")
 
 
 def markdown(df: DataFrame, most: int = 1000, pipe: Pipe = identity) -> str:
