@@ -105,3 +105,28 @@ def overlap_matrix(pairs: DataFrame, names: Sequence[str], value: str = "gcov_in
     if unit_diagonal:
         np.fill_diagonal(m, 1.0)
     return m
+
+
+def gene_results(genes: DataFrame, thesaurus: DataFrame, max_p: float | None = 0.01) -> DataFrame:
+    """(gene_id, chrom, pos, p, name) of gene results (GENE, CHR, START, STOP, P): midpoints, names of the thesaurus (gene_id, name), else the id; p below max_p, None for all.
+
+    Of a gene's several names the smallest counts.
+    """
+    g = genes.select(F.col("GENE").cast("string").alias("gene_id"), F.col("CHR").cast("string").alias("chrom"), ((F.col("START").cast("double") + F.col("STOP").cast("double")) / 2).alias("pos"), F.col("P").cast("double").alias("p"))
+    g = g.where(F.col("p") < max_p) if max_p is not None else g
+    names = thesaurus.select(F.col("gene_id").cast("string").alias("gene_id"), "name").groupBy("gene_id").agg(F.min("name").alias("name"))
+    return g.join(names, "gene_id", "left").withColumn("name", F.coalesce("name", "gene_id"))
+
+
+def gene_p_values(table: DataFrame, locations: DataFrame, gene: str, p: str, by: str = "gene_id", max_p: float | None = 0.1) -> DataFrame:
+    """(gene_id, name, chrom, pos, p) of a (gene, p) table placed by gene locations (gene_id, name, chrom, start, end); genes without a place are left out.
+
+    by: gene_id or name, what the table names its genes by; of a repeated one the location that is first by place counts.
+    """
+    if by not in ("gene_id", "name"):
+        raise ValueError(f"by is {by}")
+    t = table.select(F.col(gene).cast("string").alias("_gene"), F.col(p).cast("double").alias("p"))
+    t = t.where(F.col("p") < max_p) if max_p is not None else t
+    middle = (F.col("start").cast("double") + F.col("end").cast("double")) / 2
+    l = locations.select(F.col(by).cast("string").alias("_gene"), F.struct(F.col("chrom").cast("string").alias("chrom"), middle.alias("pos"), F.col("gene_id").cast("string").alias("gene_id"), F.col("name").cast("string").alias("name")).alias("l"))
+    return t.join(l.groupBy("_gene").agg(F.min("l").alias("l")), "_gene").select("l.gene_id", "l.name", "l.chrom", "l.pos", "p")

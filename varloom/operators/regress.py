@@ -145,7 +145,74 @@ def genetic_correlation(df: DataFrame, by: Sequence[str], n_snps: int, m: float,
     x = x.select(*by, "n_snps", (of("c", False) / F.sqrt(F.col("nt") * F.col("np")) * m).alias("gcov"), (of("t", False) / F.col("nt") * m).alias("h2_t"), (of("p", False) / F.col("np") * m).alias("h2_p"), ratio(False).alias("rg"), ratio(True).alias("_loo"))
     out = x.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("gcov", "h2_t", "h2_p", "rg", "n_snps")), (F.sqrt(F.var_pop("_loo") * F.lit(float(n_blocks - 1)))).alias("rg_se"))
     z = F.when(F.col("rg_se") > 0, F.col("rg") / F.when(F.col("rg_se") > 0, F.col("rg_se")))
-    return with_two_sided(out.withColumn("z", z), "(CASE WHEN NOT isnan(z) THEN z END)", "p")
+    tested = with_two_sided(out.withColumn("z", z), "(CASE WHEN NOT isnan(z) THEN z END)", "p")
+    return tested.withColumn("p", F.when(F.isnan("z"), F.lit(NAN)).otherwise(F.col("p")))
+
+
+def exact_heritability(df: DataFrame, m: float, n_blocks: int = 200, exclude: Column | None = None) -> DataFrame:
+    """Heritability of one trait (ordinal, ld, chi2, n) whose blocks are cut over the variants it keeps, not over the shared ones: the reference for the shared-block form, one more sort."""
+    from varloom.operators.joins import with_row_id
+
+    kept = df.where(_kept(F.col("chi2"), F.col("n")) & (~exclude if exclude is not None else F.lit(True)))
+    d = with_row_id(kept.withColumnRenamed("ordinal", "_was"), [], within="_was", name="ordinal")
+    return heritability(d.withColumn("_g", F.lit(1)), ["_g"], d.count(), m, n_blocks).drop("_g")
+
+
+def exact_correlation(df: DataFrame, m: float, n_blocks: int = 200, exclude: Column | None = None) -> DataFrame:
+    """Correlation of one pair (ordinal, ld, z_t, n_t, z_p, n_p) whose blocks are cut over the variants it keeps."""
+    from varloom.operators.joins import with_row_id
+
+    kept = df.where(_kept(F.col("z_t") * F.col("z_t"), F.col("n_t")) & _kept(F.col("z_p") * F.col("z_p"), F.col("n_p")) & (~exclude if exclude is not None else F.lit(True)))
+    d = with_row_id(kept.withColumnRenamed("ordinal", "_was"), [], within="_was", name="ordinal")
+    return genetic_correlation(d.withColumn("_g", F.lit(1)), ["_g"], d.count(), m, n_blocks).drop("_g")
+
+
+def partitioned(df: DataFrame, by: Sequence[str], annotations: Sequence[str], n_snps: int, m: float, n_blocks: int = 200) -> DataFrame:
+    """LD-score regression on several annotations per group of (by, ordinal, ld, chi2, n, annotations): (by, annotation, coefficient, coefficient_se, z, p).
+
+    chi2 = intercept + n * sum of coefficient * annotation's LD score. Weights are those of `heritability` by the total
+    score ld; standard errors by the block jackknife; p is one-sided (coefficient above 0). The sums of
+    the normal equations are folded in the tasks; a group then has a row per block, which one task solves.
+    A group whose equations are singular gives NaN.
+    """
+    kept = F.coalesce(_kept(F.col("chi2"), F.col("n")), F.lit(False))
+    d = df.where(kept)
+    agg = _aggregate_h2(d, by, "chi2", "n", m, F.lit(True))
+    j = d.join(agg.select(*by, "tot", "nbar"), list(by)).withColumn("block", block_of(F.col("ordinal"), n_snps, n_blocks))
+    w = _het(F.col("tot"), F.col("n"), m) / F.greatest(F.col("ld"), F.lit(1.0))
+    x = [*(F.col(a) * F.col("n") / F.col("nbar") for a in annotations), F.lit(1.0)]
+    k = len(x)
+    cells = [(a, b) for a in range(k) for b in range(a, k)]
+    sums = [F.sum(w * x[a] * x[b]).alias(f"x{a}_{b}") for a, b in cells] + [F.sum(w * x[a] * F.col("chi2")).alias(f"y{a}") for a in range(k)]
+    per_block = j.groupBy(*by, "block").agg(*sums, F.first("nbar").alias("nbar"))
+    keys = list(by)
+
+    def solve(f):
+        import numpy as np
+        import pandas as pd
+
+        left, right = np.zeros((len(f), k, k)), f[[f"y{a}" for a in range(k)]].to_numpy(float)
+        for a, b in cells:
+            left[:, a, b] = left[:, b, a] = f[f"x{a}_{b}"].to_numpy(float)
+
+        def solution(a, y):
+            try:
+                return np.linalg.solve(a, y)
+            except np.linalg.LinAlgError:
+                return np.full(k, np.nan)
+
+        full = solution(left.sum(0), right.sum(0))
+        without = np.array([solution(left.sum(0) - a, right.sum(0) - y) for a, y in zip(left, right, strict=True)])
+        nb = len(f)
+        pseudo = nb * full - (nb - 1) * without
+        se = pseudo.std(axis=0, ddof=1) / math.sqrt(nb) if nb > 1 else np.full(k, np.nan)
+        c, e = full[:-1] / f["nbar"].iloc[0], se[:-1] / f["nbar"].iloc[0]
+        z = np.divide(c, e, out=np.full(k - 1, np.nan), where=e > 0)
+        p = [0.5 * math.erfc(v / math.sqrt(2)) if v == v else NAN for v in z]
+        return pd.DataFrame({**{b: [f[b].iloc[0]] * (k - 1) for b in keys}, "annotation": list(annotations), "coefficient": c, "coefficient_se": e, "z": z, "p": p})
+
+    types = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in keys)
+    return per_block.groupBy(*keys).applyInPandas(solve, f"{types}, annotation string, coefficient double, coefficient_se double, z double, p double")
 
 
 def ldsc_context(index: DataFrame, ld: DataFrame, drop_ambiguous: bool = True, exclude_mhc: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.functions.normal import norm_ppf_sql, norm_two_sided_sql, with_two_sided
+from varloom.functions.normal import with_two_sided
 from varloom.operators import aggregate as agg
 from varloom.operators import causality
 from varloom.operators import downstream as dn
@@ -88,6 +88,16 @@ FROM dummy_processed_gwas WHERE ea IS NOT NULL AND nea IS NOT NULL AND beta IS N
 A, B = f"a AS {_half_sql(True)}", f"b AS {_half_sql(False)}"
 REV = "reverse(translate({}, 'ACGT', 'TGCA'))"
 
+
+
+def tail_sql(z: str) -> str:
+    """Two-sided normal p-value of z in SQL, by the power series below 3 and the continued fraction of the tail above: no coefficient is shared with the library."""
+    d = f"exp(-({z}) * ({z}) / 2) / sqrt(2 * pi())"
+    series = f"list_sum(list_transform(range(0, 60), lambda i: pow(abs({z}), 2 * i + 1) * sqrt(pi()) / (pow(2.0, i + 1) * gamma(i + 1.5))))"
+    fraction = f"list_reduce([abs({z})::DOUBLE] || list_transform(range(60, 0, -1), lambda i: i::DOUBLE), lambda a, i: abs({z}) + i / a)"
+    return f"(CASE WHEN abs({z}) < 3 THEN 1 - 2 * {d} * {series} ELSE 2 * {d} / {fraction} END)"
+
+
 # Loading delimited lines.
 
 
@@ -169,13 +179,9 @@ def q_min_filter(spark, sf):
     return table(spark, sf, "dummy_processed_gwas").transform(flt.at_least("chisq", 3.84)).select("row_id", "chisq")
 
 
-@query("SELECT row_id, eaf, se FROM dummy_processed_gwas WHERE (eaf >= 0.9 AND NOT isnan(eaf)) OR (se >= 0.05 AND NOT isnan(se))")
+@query("SELECT row_id, eaf, mlog10p FROM dummy_processed_gwas WHERE (eaf >= 0.9 AND NOT isnan(eaf)) OR (mlog10p >= 0.9 AND NOT isnan(mlog10p))")
 def q_any_min_filter(spark, sf):
-    return table(spark, sf, "dummy_processed_gwas").select("row_id", "eaf", "se").transform(_two_level_min)
-
-
-def _two_level_min(df):
-    return flt.any_at_least(0.9, ["row_id", "se"])(df).unionByName(df.where(F.coalesce(F.col("eaf") < 0.9, F.lit(True)) | F.isnan("eaf")).transform(flt.any_at_least(0.05, ["row_id", "eaf"])))
+    return table(spark, sf, "dummy_processed_gwas").select("row_id", "eaf", "mlog10p").transform(flt.any_at_least(0.9, ["row_id"]))
 
 
 @query("SELECT row_id FROM dummy_processed_gwas WHERE ea IS NOT NULL AND eaf IS NOT NULL AND n IS NOT NULL")
@@ -208,6 +214,11 @@ def q_status_digits(spark, sf):
     return gwas(spark, sf).transform(flt.status_digits(drop={5: "34", 1: "9"})).select("row_id", "STATUS")
 
 
+@query(f"""WITH {G} SELECT row_id, "STATUS" FROM g WHERE NOT (substr(CAST("STATUS" AS VARCHAR), 6, 1) = '8' OR substr(CAST("STATUS" AS VARCHAR), 7, 1) IN ('7', '8'))""")
+def q_status_digits_default(spark, sf):
+    return gwas(spark, sf).transform(flt.status_digits()).select("row_id", "STATUS")
+
+
 # Rows.
 
 
@@ -279,16 +290,17 @@ def q_mlog10p(spark, sf):
     return rounded(d.select("row_id", F.abs("MLOG10P").alias("MLOG10P")), "MLOG10P", digits=9)
 
 
-@query(f"""SELECT row_id, round({sca.p_from_beta_se_sql("beta", "se")}, 8) AS "P" FROM dummy_processed_gwas WHERE beta IS NOT NULL AND se > 0""")
+@query(f"""SELECT row_id, round({tail_sql("(beta / se)")}, 8) AS "P" FROM dummy_processed_gwas WHERE beta IS NOT NULL AND se > 0""")
 def q_p_from_beta_se(spark, sf):
     d = gwas(spark, sf).where("BETA is not null and SE > 0").transform(sca.p_from_beta_se_if_needed())
     return rounded(d.select("row_id", "P"), "P", digits=8)
 
 
-@query(f"""SELECT row_id, round({sca.se_from_p_sql("beta", "p")}, 6) AS "SE" FROM (SELECT *, pow(10.0, -mlog10p) AS p FROM dummy_processed_gwas WHERE mlog10p > 0.001 AND NOT isnan(mlog10p) AND beta IS NOT NULL)""")
+@query("""SELECT row_id, CASE WHEN pow(10.0, -mlog10p) > 0 THEN round(pow(10.0, -mlog10p), 7) END AS p_again FROM dummy_processed_gwas WHERE mlog10p > 0.001 AND NOT isnan(mlog10p) AND beta IS NOT NULL AND beta <> 0""")
 def q_se_from_p(spark, sf):
-    d = gwas(spark, sf).where("MLOG10P > 0.001 and not isnan(MLOG10P) and BETA is not null").drop("SE").transform(sca.p_from_mlog10p()).transform(sca.se_from_p())
-    return rounded(d.select("row_id", "SE"), "SE")
+    """The p-value that BETA and the standard error made from it give again: the one the error was made from."""
+    d = gwas(spark, sf).where("MLOG10P > 0.001 and not isnan(MLOG10P) and BETA is not null and BETA <> 0").drop("SE").transform(sca.p_from_mlog10p()).transform(sca.se_from_p())
+    return rounded(with_two_sided(d, "(BETA / SE)", "p_again").select("row_id", "p_again"), "p_again", digits=7)
 
 
 @query("""WITH t AS (SELECT study_id, avg(chisq) AS mean_chi, 1 + avg(abs(beta)) AS intercept FROM dummy_processed_gwas WHERE chisq IS NOT NULL AND NOT isnan(chisq) GROUP BY study_id)
@@ -298,7 +310,8 @@ def q_attenuation(spark, sf):
     return t.transform(sca.attenuation_ratio("mean_chi", "intercept")).select("study_id", F.round(F.nanvl("ratio", F.lit(None).cast("double")), 6).alias("ratio"))
 
 
-@query(f"SELECT study_id, round(avg(chisq) * {sca.liability_factor(0.01, 0.5)!r}, 6) AS liability FROM dummy_processed_gwas WHERE chisq IS NOT NULL AND NOT isnan(chisq) GROUP BY study_id")
+# 2.3263478740408408 is the published 0.99 quantile of the normal distribution
+@query("SELECT study_id, round(avg(chisq) * pow(0.01 * 0.99, 2) / (0.5 * 0.5 * pow(exp(-pow(2.3263478740408408, 2) / 2) / sqrt(2 * pi()), 2)), 6) AS liability FROM dummy_processed_gwas WHERE chisq IS NOT NULL AND NOT isnan(chisq) GROUP BY study_id")
 def q_liability(spark, sf):
     t = table(spark, sf, "dummy_processed_gwas").transform(flt.drop_nan("chisq")).groupBy("study_id").agg(F.avg("chisq").alias("observed"))
     return rounded(t.transform(sca.liability_heritability("observed", "liability", 0.01, 0.5)).select("study_id", "liability"), "liability")
@@ -479,7 +492,7 @@ def q_harmonize_alleles(spark, sf):
 @query(f"""WITH {A}, {B}, j AS (SELECT b."rsID", b."EA" AS e, b."NEA" AS n, b."BETA", b."CHR" AS c, b."POS" AS p, a."CHR", a."POS", a."EA", a."NEA" FROM b JOIN a USING ("rsID"))
 SELECT "rsID", "EA", "NEA", round(CASE WHEN e = "EA" THEN "BETA" ELSE -"BETA" END, 6) AS "BETA" FROM j WHERE c = "CHR" AND p = "POS" AND ((e = "EA" AND n = "NEA") OR (e = "NEA" AND n = "EA"))""")
 def q_harmonize_rsid(spark, sf):
-    h = har.via_rsid(half(spark, sf, False), half(spark, sf, True), palindromes="keep")
+    h = har.via_rsid(half(spark, sf, False), half(spark, sf, True), palindromes="keep", validate=False)
     return rounded(h.select("rsID", "EA", "NEA", "BETA"), "BETA")
 
 
@@ -592,10 +605,13 @@ def q_manhattan(spark, sf):
 # Aggregates.
 
 
-@query(f"""WITH {_P} SELECT study_id, round(0.5 - atan(avg(tan((0.5 - greatest(least(p, 1 - {agg.EPS}), {agg.EPS})) * pi()))) / pi(), 6) AS acat_p, count(p) AS n_models FROM p JOIN dummy_processed_gwas USING (row_id) GROUP BY study_id""")
+@query(f"""WITH {_P}, m AS (SELECT study_id, 'c' || chr AS model, min(p) AS p FROM p JOIN dummy_processed_gwas USING (row_id) GROUP BY ALL)
+SELECT study_id, string_agg(model, ',' ORDER BY model) AS models_used, count(p) AS n_models, round(0.5 - atan(avg(tan((0.5 - greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16)) * pi()))) / pi(), 6) AS acat_p
+FROM m WHERE model NOT IN ('c1', 'c23') GROUP BY study_id""")
 def q_acat(spark, sf):
     d = gwas(spark, sf).transform(flt.drop_nan("MLOG10P")).withColumn("p", F.pow(F.lit(10.0), -F.col("MLOG10P")))
-    return rounded(d.groupBy("study_id").agg(agg.acat_p("p").alias("acat_p"), F.count("p").alias("n_models")), "acat_p")
+    m = d.groupBy("study_id", F.concat(F.lit("c"), F.col("CHR").cast("string")).alias("model")).agg(F.min("p").alias("p"))
+    return rounded(m.transform(agg.acat(["study_id"], "p", "model", ["c1", "c23"])), "acat_p")
 
 
 @query("""WITH m AS (SELECT event_type, user_id, avg(value) AS mean FROM events GROUP BY ALL) SELECT user_id, event_type, round(mean / nullif(sum(mean) OVER (PARTITION BY user_id), 0), 6) AS specificity
@@ -611,7 +627,7 @@ x AS (SELECT *, 1 - (r1 + r2) / (2 * n) AS st FROM r) SELECT user_id, event_type
 def q_specificity_stability(spark, sf):
     v = F.col("value").cast("double")
     e = table(spark, sf, "events").select("event_type", F.when(v < 20, 0.0).otherwise(v).alias("value"), "user_id", "event_id")
-    return rounded(e.transform(agg.specificity_stability("event_type", "value", "user_id", "event_id")), "specificity")
+    return rounded(e.transform(agg.specificity_stability("event_type", "value", "user_id", "event_id", validate=False)), "specificity")
 
 
 @query("SELECT row_id, count(*) OVER (PARTITION BY study_id ORDER BY n RANGE UNBOUNDED PRECEDING) AS r FROM dummy_processed_gwas WHERE n IS NOT NULL")
@@ -621,7 +637,7 @@ def q_rank_max(spark, sf):
 
 
 @query(f"""WITH c AS (SELECT snpid, sum(beta / (se * se)) / sum(1 / (se * se)) AS beta, sum(1 / se) / sum(1 / (se * se)) AS se, max(beta) - min(beta) AS beta_range, count(*) AS n_assays
-FROM dummy_processed_gwas WHERE beta IS NOT NULL AND se > 0 GROUP BY snpid) SELECT snpid, round(beta, 6) AS beta, round(se, 6) AS se, round(beta_range, 9) AS beta_range, n_assays, round({norm_two_sided_sql("(beta / se)")}, 6) AS p FROM c""")
+FROM dummy_processed_gwas WHERE beta IS NOT NULL AND se > 0 GROUP BY snpid) SELECT snpid, round(beta, 6) AS beta, round(se, 6) AS se, round(beta_range, 9) AS beta_range, n_assays, round({tail_sql("(beta / se)")}, 6) AS p FROM c""")
 def q_collapse(spark, sf):
     d = table(spark, sf, "dummy_processed_gwas").where("beta is not null and se > 0").select("snpid", "study_id", "beta", "se")
     c = d.transform(agg.collapse_assays({}, "snpid", "study_id", "beta", "se", "p"))
@@ -631,10 +647,11 @@ def q_collapse(spark, sf):
 _STUDY_SETS = "d AS (SELECT DISTINCT study_id AS s, snpid AS i FROM dummy_processed_gwas WHERE study_id IS NOT NULL AND snpid IS NOT NULL)"
 
 
-@query(f"""WITH {_STUDY_SETS}, n AS (SELECT s, count(*) AS n FROM d GROUP BY s), c AS (SELECT a.s AS set_1, b.s AS set_2, count(*) AS common FROM d a JOIN d b ON a.i = b.i AND a.s < b.s GROUP BY ALL)
-SELECT set_1, set_2, common, x.n + y.n - common AS joined, round(common / (x.n + y.n - common), 6) AS jaccard FROM c JOIN n x ON x.s = set_1 JOIN n y ON y.s = set_2""")
+@query(f"""WITH {_STUDY_SETS}, n AS (SELECT s, count(*) AS n FROM d GROUP BY s), c AS (SELECT a.s AS set_1, b.s AS set_2, count(*) AS common FROM d a JOIN d b ON a.i = b.i AND a.s < b.s GROUP BY ALL),
+e AS (SELECT x.s AS set_1, y.s AS set_2, x.n + y.n AS sizes FROM n x JOIN n y ON x.s < y.s), f AS (SELECT set_1, set_2, sizes, coalesce(c.common, 0) AS common FROM e LEFT JOIN c USING (set_1, set_2))
+SELECT set_1, set_2, common, sizes - common AS joined, round(common / (sizes - common), 6) AS jaccard FROM f""")
 def q_jaccard_pairs(spark, sf):
-    return rounded(agg.jaccard_pairs(table(spark, sf, "dummy_processed_gwas"), "study_id", "snpid").where("common > 0"), "jaccard")  # as its SQL has it
+    return rounded(agg.jaccard_pairs(table(spark, sf, "dummy_processed_gwas"), "study_id", "snpid"), "jaccard")
 
 
 _RG = "t AS (SELECT l_returnflag || l_linestatus AS p1, l_shipmode AS p2, round(avg(CAST(l_discount AS DOUBLE)), 6) AS rg, round(avg(CAST(l_tax AS DOUBLE)), 6) AS p FROM lineitem GROUP BY ALL)"
@@ -686,15 +703,16 @@ def q_windowed_counts(spark, sf):
     return rounded(w.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "total", digits=4)
 
 
+# A p-value of |z| beyond 38 is 0 as a double, so the queries that go through p leave such rows out.
 # Regressions. LD scores are made from positions; the early half of the studies is trait 1, the later half trait 2.
 
 M_TOTAL, N_BLOCKS = 1_000_000.0, 20
 
 
 def _context(spark, sf) -> tuple[DataFrame, int]:
-    h = har.via_alleles(half(spark, sf, False), half(spark, sf, True), palindromes="keep", extra=())
-    a = half(spark, sf, True).select("CHR", "POS", "EA", "NEA", (F.col("BETA") / F.col("SE")).alias("z_t"), F.col("N").alias("n_t"))
-    j = h.select("CHR", "POS", "EA", "NEA", (F.col("BETA") / F.col("SE")).alias("z_p"), F.col("N").alias("n_p")).join(a, ["CHR", "POS", "EA", "NEA"])
+    a = half(spark, sf, True).withColumns({"z_t": F.col("BETA") / F.col("SE"), "n_t": F.col("N")})
+    h = har.via_alleles(half(spark, sf, False), a, palindromes="keep", extra=("z_t", "n_t"))
+    j = h.select("CHR", "POS", "EA", "NEA", (F.col("BETA") / F.col("SE")).alias("z_p"), F.col("N").alias("n_p"), "z_t", "n_t")
     j = j.withColumn("ld", (1 + F.col("POS") % 97).cast("double"))
     d = jn.with_row_id(j, ["POS", "EA", "NEA"], name="ordinal")
     return d, d.count()
@@ -712,24 +730,31 @@ w AS (SELECT c.*, 1 / (2 * power(1 + tot * n_t / {M_TOTAL} * greatest(ld, 1), 2)
 b5 AS (SELECT block, sum(w * ld * ld) AS a, sum(w * ld) AS b, sum(w) AS d, sum(w * ld * chi) AS e, sum(w * chi) AS f FROM w GROUP BY block),
 t AS (SELECT sum(a) AS a, sum(b) AS b, sum(d) AS d, sum(e) AS e, sum(f) AS f FROM b5),
 l AS (SELECT (t.d * t.e - t.b * t.f) / (t.a * t.d - t.b * t.b) AS slope, (t.a * t.f - t.b * t.e) / (t.a * t.d - t.b * t.b) AS icpt,
-((t.d - b5.d) * (t.e - b5.e) - (t.b - b5.b) * (t.f - b5.f)) / ((t.a - b5.a) * (t.d - b5.d) - power(t.b - b5.b, 2)) AS loo FROM b5, t)
-SELECT round(max(slope) * {M_TOTAL} / max(nbar), 6) AS h2, round(sqrt(var_samp({N_BLOCKS} * slope - {N_BLOCKS - 1} * loo)) * {M_TOTAL} / max(nbar) / sqrt({N_BLOCKS}), 6) AS h2_se, round(max(icpt), 6) AS intercept, max(n_kept) AS n_kept FROM l, g""")
+((t.d - b5.d) * (t.e - b5.e) - (t.b - b5.b) * (t.f - b5.f)) / ((t.a - b5.a) * (t.d - b5.d) - power(t.b - b5.b, 2)) AS loo,
+((t.a - b5.a) * (t.f - b5.f) - (t.b - b5.b) * (t.e - b5.e)) / ((t.a - b5.a) * (t.d - b5.d) - power(t.b - b5.b, 2)) AS iloo FROM b5, t)
+SELECT round(sqrt(var_samp({N_BLOCKS} * icpt - {N_BLOCKS - 1} * iloo) / {N_BLOCKS}), 6) AS intercept_se, round(max(mean_chi2), 6) AS mean_chi2, round((SELECT median(chi) FROM c) / 0.4549364231195724, 6) AS lambda_gc, round(max(slope) * {M_TOTAL} / max(nbar), 6) AS h2, round(sqrt(var_samp({N_BLOCKS} * slope - {N_BLOCKS - 1} * loo)) * {M_TOTAL} / max(nbar) / sqrt({N_BLOCKS}), 6) AS h2_se, round(max(icpt), 6) AS intercept, max(n_kept) AS n_kept FROM l, g""")
 def q_ldsc_h2(spark, sf):
     d, n = _context(spark, sf)
     t = d.select(F.lit("t").alias("trait"), "ordinal", "ld", (F.col("z_t") * F.col("z_t")).alias("chi2"), F.col("n_t").alias("n"))
-    return rounded(reg.heritability(t, ["trait"], n, M_TOTAL, N_BLOCKS).select("h2", "h2_se", "intercept", "n_kept"), "h2", "h2_se", "intercept")
+    return rounded(reg.heritability(t, ["trait"], n, M_TOTAL, N_BLOCKS).select("h2", "h2_se", "intercept", "n_kept", "intercept_se", "mean_chi2", "lambda_gc"), "h2", "h2_se", "intercept", "intercept_se", "mean_chi2", "lambda_gc")
 
 
 @query(f"""WITH {_CONTEXT}, c AS (SELECT *, z_t * z_t AS ct, z_p * z_p AS cp FROM k WHERE z_t * z_t <= greatest(0.001 * n_t, 80) AND z_p * z_p <= greatest(0.001 * n_p, 80)),
 g AS (SELECT least(greatest({M_TOTAL} * (avg(ct) - 1) / avg(ld * n_t), 0), 1) AS tt, least(greatest({M_TOTAL} * (avg(cp) - 1) / avg(ld * n_p), 0), 1) AS tp, avg(n_t) AS nt, avg(n_p) AS np FROM c),
 w AS (SELECT c.*, 1 / (2 * power(1 + tt * n_t / {M_TOTAL} * greatest(ld, 1), 2)) AS ht, 1 / (2 * power(1 + tp * n_p / {M_TOTAL} * greatest(ld, 1), 2)) AS hp, 1 / greatest(ld, 1) AS oc FROM c, g),
-s AS (SELECT kind, sum(w * ld * ld) AS a, sum(w * ld) AS b, sum(w) AS d, sum(w * ld * y) AS e, sum(w * y) AS f FROM (
-SELECT 't' AS kind, ht * oc AS w, ld, ct AS y FROM w UNION ALL SELECT 'p', hp * oc, ld, cp FROM w UNION ALL SELECT 'c', oc * power(sqrt(ht) + sqrt(hp), 2), ld, z_t * z_p FROM w) GROUP BY kind),
-v AS (SELECT kind, (d * e - b * f) / (a * d - b * b) AS slope FROM s)
-SELECT round(max(slope) FILTER (kind = 'c') / sqrt(max(nt) * max(np)) * {M_TOTAL}, 6) AS gcov, round(max(slope) FILTER (kind = 't') / max(nt) * {M_TOTAL}, 6) AS h2_t, round(max(slope) FILTER (kind = 'p') / max(np) * {M_TOTAL}, 6) AS h2_p FROM v, g""")
+r AS (SELECT kind, block, sum(w * ld * ld) AS a, sum(w * ld) AS b, sum(w) AS d, sum(w * ld * y) AS e, sum(w * y) AS f FROM (
+SELECT 't' AS kind, block, ht * oc AS w, ld, ct AS y FROM w UNION ALL SELECT 'p', block, hp * oc, ld, cp FROM w UNION ALL SELECT 'c', block, oc * power(sqrt(ht) + sqrt(hp), 2), ld, z_t * z_p FROM w) GROUP BY ALL),
+s AS (SELECT kind, sum(a) AS a, sum(b) AS b, sum(d) AS d, sum(e) AS e, sum(f) AS f FROM r GROUP BY kind),
+v AS (SELECT kind, (d * e - b * f) / (a * d - b * b) AS slope FROM s),
+lo AS (SELECT kind, block, ((s.d - r.d) * (s.e - r.e) - (s.b - r.b) * (s.f - r.f)) / ((s.a - r.a) * (s.d - r.d) - power(s.b - r.b, 2)) AS slope FROM r JOIN s USING (kind)),
+u AS (SELECT block, max(slope) FILTER (kind = 'c') AS c, max(slope) FILTER (kind = 't') AS t, max(slope) FILTER (kind = 'p') AS p FROM lo GROUP BY block),
+x AS (SELECT sqrt(var_pop(c / sqrt(t * p)) * {N_BLOCKS - 1}) AS rg_se FROM u),
+y AS (SELECT max(slope) FILTER (kind = 'c') / sqrt(max(slope) FILTER (kind = 't') * max(slope) FILTER (kind = 'p')) AS rg FROM v)
+SELECT round(max(rg), 6) AS rg, round(max(rg_se), 6) AS rg_se, round(max(rg / rg_se), 5) AS z, round(max({tail_sql('(rg / rg_se)')}), 6) AS p, round(max(slope) FILTER (kind = 'c') / sqrt(max(nt) * max(np)) * {M_TOTAL}, 6) AS gcov, round(max(slope) FILTER (kind = 't') / max(nt) * {M_TOTAL}, 6) AS h2_t, round(max(slope) FILTER (kind = 'p') / max(np) * {M_TOTAL}, 6) AS h2_p FROM v, g, x, y""")
 def q_ldsc_rg(spark, sf):
     d, n = _context(spark, sf)
-    return rounded(reg.genetic_correlation(d.withColumn("pair", F.lit("t-p")), ["pair"], n, M_TOTAL, N_BLOCKS).select("gcov", "h2_t", "h2_p"), "gcov", "h2_t", "h2_p")
+    r = reg.genetic_correlation(d.withColumn("pair", F.lit("t-p")), ["pair"], n, M_TOTAL, N_BLOCKS).select("gcov", "h2_t", "h2_p", "rg", "rg_se", "z", "p")
+    return rounded(rounded(r, "gcov", "h2_t", "h2_p", "rg", "rg_se", "p"), "z", digits=5)
 
 
 _S, _V, _I = [[0.4, 0.1], [0.1, 0.3]], [[1e-4, 2e-5, 1e-5], [2e-5, 8e-5, 1e-5], [1e-5, 1e-5, 9e-5]], [[1.02, 0.1], [0.1, 1.03]]
@@ -743,8 +768,8 @@ def q_subtraction(spark, sf):
     return rounded(reg.subtraction(x, _S, _V, _I).select("CHR", "POS", "EA", "NEA", "beta_f", "beta_r", "se_f"), "beta_f", "beta_r", "se_f")
 
 
-@query(f"""WITH {A}, {B}, t AS (SELECT a."rsID" AS "SNP", a."EA" AS r1, a."NEA" AS r2, b."EA" AS e0, b."NEA" AS n0, b."BETA" AS eff, b."N", {norm_two_sided_sql('(b."BETA" / b."SE")')} AS p FROM b JOIN (SELECT "rsID", min("EA") AS "EA", min("NEA") AS "NEA" FROM a GROUP BY 1) a USING ("rsID")),
-s AS (SELECT *, CASE WHEN e0 = r1 THEN sign(eff) ELSE -sign(eff) END * -{norm_ppf_sql("(p / 2.0e0)")} AS z FROM t WHERE length(e0) = 1 AND length(n0) = 1 AND ((e0 = r1 AND n0 = r2) OR (e0 = r2 AND n0 = r1)) AND p > 0 AND p < 1)
+@query(f"""WITH {A}, {B}, t AS (SELECT a."rsID" AS "SNP", a."EA" AS r1, a."NEA" AS r2, b."EA" AS e0, b."NEA" AS n0, b."BETA" / b."SE" AS z0, b."N" FROM b JOIN (SELECT "rsID", min("EA") AS "EA", min("NEA") AS "NEA" FROM a GROUP BY 1) a USING ("rsID")),
+s AS (SELECT *, CASE WHEN e0 = r1 THEN z0 ELSE -z0 END AS z FROM t WHERE abs(z0) < 38 AND length(e0) = 1 AND length(n0) = 1 AND ((e0 = r1 AND n0 = r2) OR (e0 = r2 AND n0 = r1)))
 SELECT "SNP", r1 AS "A1", r2 AS "A2", round(z, 5) AS "Z", "N" FROM s""")
 def q_munge(spark, sf):
     a = half(spark, sf, True).groupBy(F.col("rsID").alias("SNP")).agg(F.min("EA").alias("A1"), F.min("NEA").alias("A2"))
@@ -753,8 +778,8 @@ def q_munge(spark, sf):
     return rounded(reg.munge(d, a), "Z", digits=5)
 
 
-@query(f"""WITH {A}, {B}, r AS (SELECT "rsID" AS "SNP", min("EA") AS r1, min("NEA") AS r2 FROM a GROUP BY 1), t AS (SELECT b."rsID" AS "SNP", r1, r2, b."EA" AS e0, b."NEA" AS n0, b."BETA" AS eff, b."N", {norm_two_sided_sql('(b."BETA" / b."SE")')} AS p FROM b JOIN r ON b."rsID" = r."SNP"),
-z AS (SELECT *, CASE WHEN e0 = r1 THEN sign(eff) ELSE -sign(eff) END * CASE WHEN p < 1e-307 THEN sqrt(-2 * ln(p)) ELSE -{norm_ppf_sql("(p / 2.0e0)")} END AS z FROM t WHERE p > 0 AND p < 1 AND ((e0 = r1 AND n0 = r2) OR (e0 = r2 AND n0 = r1)))
+@query(f"""WITH {A}, {B}, r AS (SELECT "rsID" AS "SNP", min("EA") AS r1, min("NEA") AS r2 FROM a GROUP BY 1), t AS (SELECT b."rsID" AS "SNP", r1, r2, b."EA" AS e0, b."NEA" AS n0, b."BETA" / b."SE" AS z0, b."N" FROM b JOIN r ON b."rsID" = r."SNP"),
+z AS (SELECT *, CASE WHEN e0 = r1 THEN z0 ELSE -z0 END AS z FROM t WHERE abs(z0) < 38 AND ((e0 = r1 AND n0 = r2) OR (e0 = r2 AND n0 = r1)))
 SELECT "SNP", r1 AS "A1", r2 AS "A2", round(z / sqrt("N" * 0.42), 7) AS beta, round(abs(1 / sqrt("N" * 0.42)), 7) AS se FROM z WHERE z <> 0""")
 def q_standardise(spark, sf):
     a = half(spark, sf, True).groupBy(F.col("rsID").alias("SNP")).agg(F.min("EA").alias("A1"), F.min("NEA").alias("A2")).withColumn("MAF", F.lit(0.3))
@@ -856,8 +881,12 @@ def q_causal_estimate(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from varloom.plans import more_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from varloom.plans import more_queries  # noqa: F401
+
     return dict(SQL)

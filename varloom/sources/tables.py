@@ -170,34 +170,73 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], out: ParquetOut
 
 
 def write_byte_stream_split(df: DataFrame, path: str, float_columns: Sequence[str], level: int | None = None) -> None:
-    """One Parquet file with byte-stream-split float columns, written by the tasks' Arrow writer, one file per partition into the folder `path` on a shared file system."""
+    """Parquet with byte-stream-split float columns, written by the tasks' Arrow writer, a file per partition into the folder `path` of a shared file system that Arrow knows."""
     names = df.columns
 
     def part(batches):
-        import os
-
         import pyarrow as pa
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        os.makedirs(path, exist_ok=True)
+        where, folder = open_path(path)
+        where.create_dir(folder, recursive=True)
         out, n = None, 0
         ctx = TaskContext.get()
-        final = os.path.join(path, f"part-{ctx.partitionId():05d}.parquet")
-        work = f"{final}.{ctx.taskAttemptId()}.tmp"
+        final = f"{folder}/part-{ctx.partitionId():05d}.parquet"
+        work = f"{folder}/_{ctx.partitionId():05d}.{ctx.taskAttemptId()}.tmp"  # readers pass over names with _
         for b in batches:
             if out is None:
-                out = pq.ParquetWriter(work, b.schema, compression="zstd", compression_level=level, use_dictionary=[c for c in names if c not in float_columns], use_byte_stream_split=list(float_columns))
+                out = pq.ParquetWriter(work, b.schema, filesystem=where, compression="zstd", compression_level=level, use_dictionary=[c for c in names if c not in float_columns], use_byte_stream_split=list(float_columns))
             out.write_batch(b)
             n += b.num_rows
         if out is not None:
             out.close()
-            os.replace(work, final)  # a repeated attempt replaces the file by the same content
+            where.move(work, final)  # a repeated attempt replaces the file by the same content
         yield pa.RecordBatch.from_pydict({"rows": [n]}, pa.schema([("rows", pa.int64())]))
 
     df.mapInArrow(part, "rows bigint").agg(F.sum("rows")).collect()
 
 
+def scan_byte_stream_split(spark: SparkSession, path: str, rows_at_once: int = 65_536) -> DataFrame:
+    """A folder of Parquet files with byte-stream-split columns, which the JVM's vectorised reader refuses: tasks read a file each by Arrow."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def read(batches):
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                where, name = open_path(p)
+                yield from pq.ParquetFile(name, filesystem=where).iter_batches(rows_at_once)
+
+    import pyarrow.parquet as pq
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    one = files.first()
+    if one is None:
+        raise ValueError(f"no Parquet file in {path}")
+    where, name = open_path(one["path"])
+    kind = from_arrow_schema(pq.read_schema(name, filesystem=where))
+    return files.repartition("path").mapInArrow(read, kind)
+
+
+def open_path(path: str):
+    """(file system, path within it) of a URL or plain path."""
+    from pyarrow import fs
+
+    plain = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    return fs.FileSystem.from_uri(plain)
+
+
+def put(path: str, content: bytes) -> str:
+    """Writes one small file, made by the driver, to a shared file system."""
+    where, name = open_path(path)
+    where.create_dir(name.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(name, compression=None) as out:
+        out.write(content)
+    return path
+
+
 def convert(spark: SparkSession, source: str, spec: ReadSpec, target: str, select: Sequence[str] | None = None, types: dict[str, str] | None = None, out: ParquetOut = ParquetOut(), mode: str = "error") -> None:
     """Text to Parquet with chosen columns and types."""
     df = scan(spark, source, spec)
@@ -303,13 +342,11 @@ def first_sample_size(spark: SparkSession, path: str, column: str = "N") -> Data
         import zlib
 
         import pandas as pd
-        from pyarrow import fs
-
         for f in frames:
             out = []
             for p in f["path"]:
                 n = None
-                where, name = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file:///") else p)
+                where, name = open_path(p)
                 with where.open_input_file(name) as raw, tarfile.open(fileobj=raw, mode="r|", bufsize=16_384) as tar:
                     for member in tar:
                         if member.isfile() and member.name.endswith(".gz"):
