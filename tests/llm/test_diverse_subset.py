@@ -39,7 +39,9 @@ def test_pivots_agree_with_greedy():
     rng = np.random.default_rng(4)
     for n in (60, 400):
         x = rng.normal(size=(n, 20))
-        places, lengths, new = ds.pivoted(sparse(x), np.zeros((20, 0)), 10, 1e-6, 20)
+        places, lengths = ds.pivoted(sparse(x), np.zeros((20, 0)), 10, 1e-6, 20)
+        new = ds.directions(sparse(x), places, np.zeros((20, 0)), 20)
+        assert np.allclose(new.T @ new, np.eye(10))
         r, chosen = x.copy(), []
         for _ in range(10):
             p = int(np.argmax((r**2).sum(1)))
@@ -47,7 +49,7 @@ def test_pivots_agree_with_greedy():
             q = r[p] / np.linalg.norm(r[p])
             r = r - np.outer(r @ q, q)
         assert places.tolist() == chosen and (np.diff(lengths) <= 1e-9).all()
-        more, _, _ = ds.pivoted(sparse(x), new, 5, 1e-6, 20)
+        more, _ = ds.pivoted(sparse(x), new, 5, 1e-6, 20)
         for p in more.tolist():
             assert p == int(np.argmax((r**2).sum(1)))
             q = r[p] / np.linalg.norm(r[p])

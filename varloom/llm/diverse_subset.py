@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from varloom.session import cut
 
-ROWS_AT_ONCE = 65_536
+ROWS_AT_ONCE = 32_768
 #: Products of entries and directions made at a time.
 PRODUCTS_AT_ONCE = 4_000_000
 #: Shares of a row's own length that must be left for it to be a pivot; the next one holds once no row meets the one before.
@@ -114,9 +114,9 @@ class Rows:
         c = slice(self.starts[i], self.starts[i + 1])
         return np.bincount(self.slots[c], self.vals[c], dims)
 
-    def along(self, at: np.ndarray, basis: np.ndarray) -> np.ndarray:
-        """Squared length of rows `at` within the basis (dims x r, orthonormal)."""
-        out = np.zeros(len(at))
+    def times(self, at: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        """Products of rows `at` with the columns of basis (dims x r)."""
+        out = np.zeros((len(at), basis.shape[1]), np.float64)
         if not basis.shape[1]:
             return out
         counts = self.starts[at + 1] - self.starts[at]
@@ -127,52 +127,60 @@ class Rows:
             n, first = counts[i:j], self.starts[at[i:j]]
             before = np.cumsum(n) - n
             entry = np.repeat(first - before, n) + np.arange(n.sum())
-            parts = np.add.reduceat(basis[self.slots[entry]] * self.vals[entry, None], before, axis=0)
-            out[i:j] = np.einsum("ij,ij->i", parts, parts)
+            out[i:j] = np.add.reduceat(basis[self.slots[entry]] * self.vals[entry, None], before, axis=0)
             i = j
         return out
 
+    def squares(self) -> np.ndarray:
+        return np.add.reduceat(self.vals**2, self.starts[:-1]) if len(self.ids) else np.zeros(0)
 
-def pivoted(rows: Rows, basis: np.ndarray, block: int, tolerance: float, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """QR with row pivoting after deflation by basis: places of the pivots in order, their residual lengths and directions.
+
+def pivoted(rows: Rows, basis: np.ndarray, block: int, tolerance: float, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """QR with row pivoting after deflation by basis: places of the pivots in order and their residual lengths.
 
     The pivot is the longest residual of the rows that have `tolerance` of their own length left.
-    Residuals only shrink, so the top of the old ones is brought up to date until the
-    longest is known. Ties go to the smaller id.
+    Rows are only met through their products with the basis and with the pivots, so the triangular
+    factor is found without a dense direction. Residuals only shrink, so the top of the old ones
+    is brought up to date until the longest is known. Ties go to the smaller id.
     """
     n = len(rows.ids)
-    all_rows = np.arange(n)
-    square = np.add.reduceat(rows.vals**2, rows.starts[:-1]) if n else np.zeros(0)
-    start = square - rows.along(all_rows, basis)
+    size = min(block, n)
+    inside = rows.times(np.arange(n), basis)
+    start = rows.squares() - np.einsum("ij,ij->i", inside, inside)
     least = (tolerance * rows.own) ** 2
 
     def score(left: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.where(left >= least[at], np.round(left, 9), -1.0)
 
-    upper, seen = score(start, all_rows), np.zeros(n, np.int64)
-    places, lengths, new = [], [], np.zeros((dims, min(block, n)))
-    for t in range(min(block, n)):
+    upper, seen = score(start, np.arange(n)), np.zeros(n, np.int64)
+    factor, own_row = np.zeros((size, size)), np.zeros((n, size))  # of the pivots; of rows when last looked at
+    pivots, places, lengths = np.zeros((dims, size)), [], []
+    for t in range(size):
         while True:
             p = int(np.argmax(upper))
             if upper[p] <= 0 or seen[p] == t:
                 break
             top = np.argpartition(upper, -min(64, n))[-min(64, n) :]
-            top = np.append(top[(seen[top] < t) & (upper[top] > 0)], p) if n > 64 else np.flatnonzero((seen < t) & (upper > 0))
-            upper[top], seen[top] = score(start[top] - rows.along(top, new[:, :t]), top), t
+            top = np.union1d(top[(seen[top] < t) & (upper[top] > 0)], [p])
+            common = rows.times(top, pivots[:, :t]) - inside[top] @ inside[places].T
+            own_row[top, :t] = np.linalg.solve(factor[:t, :t], common.T).T
+            upper[top], seen[top] = score(start[top] - np.einsum("ij,ij->i", own_row[top, :t], own_row[top, :t]), top), t
         if upper[p] <= 0:
             break
-        v = rows.dense(p, dims)
-        for _ in range(2):  # twice is enough against rounding
-            v -= basis @ (basis.T @ v) + new[:, :t] @ (new[:, :t].T @ v)
-        length = float(np.linalg.norm(v))
-        if length < 1e-6:
-            upper[p] = -1.0
-            continue
-        new[:, len(places)] = v / length
+        length = math.sqrt(max(start[p] - float(own_row[p, :t] @ own_row[p, :t]), 1e-12))
+        factor[t, :t], factor[t, t], pivots[:, t] = own_row[p, :t], length, rows.dense(p, dims)
         places.append(p)
         lengths.append(length)
         upper[p], seen[p] = -1.0, np.iinfo(np.int64).max
-    return np.array(places, np.int64), np.array(lengths), new[:, : len(places)]
+    return np.array(places, np.int64), np.array(lengths)
+
+
+def directions(rows: Rows, places: np.ndarray, basis: np.ndarray, dims: int) -> np.ndarray:
+    """Orthonormal directions (dims x pivots) that the pivots add to the basis."""
+    v = np.column_stack([rows.dense(p, dims) for p in places]) if len(places) else np.zeros((dims, 0))
+    for _ in range(2):  # twice is enough against rounding
+        v = v - basis @ (basis.T @ v)
+    return np.linalg.qr(v)[0]
 
 
 def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = Space(), block: int = 128, tolerances: tuple[float, ...] = TOLERANCES) -> DataFrame:
@@ -231,11 +239,11 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
             level += 1
             continue
         rows = Rows.of(final, space)
-        places, lengths, new = pivoted(rows, basis, min(block, k - len(chosen)), tolerance, dims)
+        places, lengths = pivoted(rows, basis, min(block, k - len(chosen)), tolerance, dims)
         if not len(places):
             level += 1
         chosen += [(len(chosen) + i + 1, int(rows.ids[p]), float(tolerance), float(r)) for i, (p, r) in enumerate(zip(places, lengths, strict=True))]
-        basis = np.column_stack([basis, new])
+        basis = np.column_stack([basis, directions(rows, places, basis, dims)])
     done = spark.createDataFrame(chosen, "place int, id bigint, tolerance double, residual double")
     if len(chosen) == k:
         return done
@@ -245,9 +253,8 @@ def select_varied(records: DataFrame, items: DataFrame, k: int, space: Space = S
         q, gone = carried.value
         for f in frames:
             rows = Rows.of(f[~f["id"].isin(gone)], space)
-            n = len(rows.ids)
-            square = np.add.reduceat(rows.vals**2, rows.starts[:-1]) if n else np.zeros(0)
-            yield pd.DataFrame({"id": rows.ids, "residual": np.round(np.sqrt(np.maximum(square - rows.along(np.arange(n), q), 0)), 4)})
+            inside = rows.times(np.arange(len(rows.ids)), q)
+            yield pd.DataFrame({"id": rows.ids, "residual": np.round(np.sqrt(np.maximum(rows.squares() - np.einsum("ij,ij->i", inside, inside), 0)), 4)})
 
     rest = base.mapInPandas(left, "id bigint, residual double").orderBy(F.desc("residual"), "id").limit(k - len(chosen))
     place = F.row_number().over(Window.orderBy(F.desc("residual"), "id")) + len(chosen)
