@@ -61,6 +61,14 @@ def p4_merged_days(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("scope", F.col("key").alias("group_key"), "metric", "q", "total", "lower", "upper", "value")
 
 
+def p4_merged_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the merged day results' bounds hold the exact percentile and are as narrow as promised."""
+    key = ["scope", "group_key", "metric", "q"]
+    j = p4_merged_days(spark, sf).drop("value").join(p4_percentiles(spark, sf).select(*key, "value"), key)
+    holds = F.col("value").between(F.col("lower"), F.col("upper")) & (F.col("upper") - F.col("lower") <= F.greatest(F.abs("lower"), F.abs("upper")) / 16 + 2e-309)  # about 0 the cell of denormal numbers is the bound
+    return j.select(*key, "total", holds.alias("holds"))
+
+
 def gene_set_content(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(id, group) of gene_set, with the collection's spelling made even, and (id, item) of its members."""
     group = F.upper(F.regexp_replace(F.trim("collection"), r"[\s_-]+", ""))
@@ -108,5 +116,5 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = [p1_found, p1_classes, p1_class_pairs, p2_found, p2_links, p4_percentiles, p4_day_counts, p4_merged_days, p5_varied_sets, p6_containers, p6_fill, p7_found, p7_matches, p7_clean_documents, p8_found, p8_restored]
+    names = [p1_found, p1_classes, p1_class_pairs, p2_found, p2_links, p4_percentiles, p4_day_counts, p4_merged_days, p4_merged_bounds, p5_varied_sets, p6_containers, p6_fill, p7_found, p7_matches, p7_clean_documents, p8_found, p8_restored]
     return {f.__name__: f for f in names}

@@ -36,6 +36,8 @@ gd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELE
 gi AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM gd JOIN gi USING (g)"""
 
+P4_MERGED_BOUNDS = f"SELECT scope, group_key, metric, q, total, true AS holds FROM ({P4_PERCENTILES})"
+P7_CLEAN_DOCUMENTS = f"SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P7_FOUND}))"
 
 # A change is written without the bases both alleles share at their ends, one end before the other, on either strand.
 _SAME = "list_max(list_filter(range(0, least(len({a}), len({b})) + 1), lambda k: {end}({a}, k) = {end}({b}, k)))"
@@ -74,4 +76,4 @@ SELECT snpid, regenie_row FROM e WHERE gap IS NULL OR gap < 0.1 QUALIFY row_numb
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_class_pairs": P1_CLASS_PAIRS, "p1_classes": P1_CLASSES, "p2_found": P2_FOUND, "p4_percentiles": P4_PERCENTILES, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p1_class_pairs": P1_CLASS_PAIRS, "p1_classes": P1_CLASSES, "p2_found": P2_FOUND, "p4_percentiles": P4_PERCENTILES, "p4_merged_bounds": P4_MERGED_BOUNDS, "p7_found": P7_FOUND, "p7_clean_documents": P7_CLEAN_DOCUMENTS}
