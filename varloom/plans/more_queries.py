@@ -424,3 +424,85 @@ def q_partitioned_h2(spark, sf):
     d, n = _context(spark, sf)
     t = d.select(F.lit("t").alias("trait"), "ordinal", "ld", (F.col("z_t") * F.col("z_t")).alias("chi2"), F.col("n_t").alias("n"), F.when(F.col("POS") % 2 == 0, F.col("ld")).otherwise(0.0).alias("even"), F.when(F.col("POS") % 3 == 0, F.col("ld")).otherwise(1.0).alias("third"))
     return rounded(reg.partitioned(t, ["trait"], ["even", "third"], n, M_TOTAL, N_BLOCKS).drop("trait"), "coefficient", "coefficient_se", "z", "p", digits=9)
+
+
+# Downstream tables.
+
+
+@query("SELECT trait AS name, studies, p, round(abs(log10(p)), 9) AS mlog10p, row_number() OVER (ORDER BY p, name) - 1 AS n FROM (SELECT 'T ' || row_number() OVER (ORDER BY study_id) AS trait, 1 AS studies, 1.0::DOUBLE / (1 + row_number() OVER (ORDER BY study_id)) AS p FROM study_info)")
+def q_enrichment_points(spark, sf):
+    ids = sorted(r["study_id"] for r in table(spark, sf, "study_info").select("study_id").collect())  # 39 rows, fixed
+    d = spark.createDataFrame([(f"t_{i + 1}", 1.0 / (i + 2)) for i in range(len(ids))], "Name string, Coefficient_P_value double")
+    return rounded(dn.enrichment_points(d).select("name", F.lit(1).alias("studies"), "p", F.abs("mlog10p").alias("mlog10p"), "n"), "mlog10p", digits=9)
+
+
+@query("""WITH t AS (SELECT snpid, min(pow(10.0, -mlog10p)) AS p FROM dummy_processed_gwas WHERE mlog10p < 300 AND snpid IS NOT NULL GROUP BY 1)
+SELECT snpid, round(abs(log10(p)), 9) AS mlog10p, p <= 0.05 / (SELECT count(*) FROM t) AS passes FROM t ORDER BY p, snpid LIMIT 20""")
+def q_top_bars(spark, sf):
+    t = gwas(spark, sf).where("MLOG10P < 300 and SNPID is not null").groupBy(F.col("SNPID").alias("snpid")).agg(F.min(F.pow(F.lit(10.0), -F.col("MLOG10P"))).alias("p"))
+    return rounded(dn.top_bars(t, 20, "p", "snpid").select("snpid", F.abs("mlog10p").alias("mlog10p"), "passes"), "mlog10p", digits=9)
+
+
+@query(f"""WITH {A} SELECT "CHR", "POS", "EA", "NEA", CAST("POS" % 1000 AS BIGINT) AS ordinal FROM a WHERE "CHR" = 3""")
+def q_align_to_matrix(spark, sf):
+    h = half(spark, sf, True)
+    return dn.align_to_matrix(h, h.where("CHR = 3").withColumn("ordinal", (F.col("POS") % 1000).cast("bigint"))).select("CHR", "POS", "EA", "NEA", "ordinal")
+
+
+@query("SELECT row_id FROM dummy_processed_gwas WHERE NOT coalesce(eaf > 0.5 AND abs(beta) > 0.02, false)")
+def q_consistent_variants(spark, sf):
+    d = table(spark, sf, "dummy_processed_gwas").select(F.col("row_id").alias("ordinal"), F.col("eaf").alias("logLR"), F.col("beta").alias("z"))
+    return dn.consistent_variants(d, d, 0.5, 0.02).select(F.col("ordinal").alias("row_id"))
+
+
+@query("SELECT l_linenumber AS set, l_orderkey AS ordinal, CAST(max(l_discount) AS DOUBLE) AS alpha, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 GROUP BY ALL")
+def q_credible_sets(spark, sf):
+    m = table(spark, sf, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_linenumber").alias("set"), F.col("l_orderkey").alias("ordinal")).agg(F.max("l_discount").cast("double").alias("alpha"))
+    return dn.credible_sets(table(spark, sf, "orders").select(F.col("o_orderkey").alias("ordinal"), "o_orderstatus"), m.select("set", "ordinal"), m).select("set", "ordinal", "alpha", "o_orderstatus")
+
+
+@query("SELECT row_id FROM dummy_processed_gwas WHERE beta > 0 AND eaf <= 0.3")
+def q_steiger_kept(spark, sf):
+    return dn.steiger_kept(table(spark, sf, "dummy_processed_gwas").select("row_id", (F.col("beta") > 0).alias("steiger_dir"), F.col("eaf").alias("steiger_pval")), 0.3).select("row_id")
+
+
+@query("SELECT id, id % 22 AS chrom, id * 10 AS start, id * 10 + 25 AS end FROM gene_symbol WHERE id % 22 = 3 AND id * 10 + 25 >= 500 AND id * 10 <= 9000")
+def q_overlapping_genes(spark, sf):
+    g = table(spark, sf, "gene_symbol").select("id", (F.col("id") % 22).alias("chrom"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 25).alias("end"))
+    return itv.overlapping(g, 3, 500, 9000)
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '^Customer#', '') AS c_name FROM customer")
+def q_remove_prefix(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_name").transform(st.remove_prefix("c_name", "Customer#"))
+
+
+@query("""WITH s AS (SELECT study_id, string_agg(DISTINCT trait, ',') AS t, count(*) AS matches FROM study_info GROUP BY study_id) SELECT study_id, matches FROM s""")
+def q_exactly_one(spark, sf):
+    """Every study named by the statistics' own table of studies is matched once."""
+    s = table(spark, sf, "study_info").select("study_id", F.lit(None).cast("string").alias("trait"))
+    return jn.exactly_one(s, table(spark, sf, "study_info").select("study_id", "trait"), ["study_id", "trait"]).select("study_id", "matches")
+
+
+@query(f"""WITH {A}, s AS (SELECT 'chr' || chr AS chrom, pos - 1 AS start, snpid AS name FROM dummy_processed_gwas WHERE chr <= 22 AND length(ea) = 1 AND length(nea) = 1 GROUP BY ALL)
+SELECT a."CHR", a."POS", a."EA", a."NEA", s.name AS "rsID" FROM a JOIN s ON s.chrom = 'chr' || a."CHR" AND s.start + 1 = a."POS" WHERE length("EA") = 1 AND length("NEA") = 1""")
+def q_assign_rsids(spark, sf):
+    t = table(spark, sf, "dummy_processed_gwas").where("chr <= 22")
+    kind = F.when((F.length("ea") == 1) & (F.length("nea") == 1), "single").otherwise("other")
+    snps = t.select(F.concat(F.lit("chr"), F.col("chr").cast("string")).alias("chrom"), (F.col("pos") - 1).alias("chromStart"), F.col("snpid").alias("name"), kind.alias("class")).distinct()
+    v = half(spark, sf, True).select("CHR", "POS", "EA", "NEA")
+    return jn.assign_rsids(v, snps, {f"chr{c}": c for c in range(1, 23)}).select("CHR", "POS", "EA", "NEA", "rsID")
+
+
+@query(f"""WITH {A} SELECT row_number() OVER (ORDER BY "CHR", "POS", "EA", "NEA") - 1 AS ordinal, "rsID", CAST("POS" % 7 AS DOUBLE) AS ld FROM a
+WHERE NOT coalesce((least("EA", "NEA") || greatest("EA", "NEA")) IN ('AT', 'CG'), false) AND NOT ("CHR" = 6 AND "POS" BETWEEN 25726063 AND 33400644)""")
+def q_ldsc_context(spark, sf):
+    index = _index(spark, sf).withColumn("is_strand_ambiguous", har.is_ambiguous_snv())
+    ld = half(spark, sf, True).groupBy(F.col("rsID").alias("SNP")).agg(F.max(F.col("POS") % 7).cast("double").alias("L2"))
+    return reg.ldsc_context(index, ld).select("ordinal", "rsID", "ld")
+
+
+@query("SELECT n_nationkey AS \"GENE\", n_regionkey * 2 AS b FROM nation")
+def q_significant_columns(spark, sf):
+    m = table(spark, sf, "nation").select(F.col("n_nationkey").alias("GENE"), F.col("n_regionkey").alias("a"), (F.col("n_regionkey") * 2).alias("b"))
+    return agg.significant_columns(spark.createDataFrame([("a", 0.04), ("b", 0.001)], "VARIABLE string, P double"), m)
